@@ -15,8 +15,13 @@ GROUP_BYTES = 8 << 20  # of compressed input in a group or shard
 
 
 def size_in_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate from file sizes; runs no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's estimate for a scan of files, without a job; what else there may be is measured."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    estimate = int(str(plan.stats().sizeInBytes()))
+    if plan.collectLeaves().size() == 1 and estimate < 1 << 60:
+        return estimate
+    strings = [F.coalesce(F.octet_length(f"`{c}`"), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+    return df.select(sum(strings, F.lit(8 * len(df.columns))).cast("long").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // 2
 
 
 def pieces(df: DataFrame, per: int = GROUP_BYTES, least: int = 4) -> int:
