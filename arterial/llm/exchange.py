@@ -24,8 +24,11 @@ def size_in_bytes(df: DataFrame) -> int:
     return df.select(sum(strings, F.lit(8 * len(df.columns))).cast("long").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // 2
 
 
-def pieces(df: DataFrame, per: int = GROUP_BYTES, least: int = 4) -> int:
-    return int(min(max(least, -(-size_in_bytes(df) // per)), 200_000))
+def pieces(df: DataFrame, per: int = GROUP_BYTES) -> int:
+    """How many groups: of `per` bytes, or smaller ones while there are fewer of them than shuffle partitions."""
+    size = size_in_bytes(df)
+    wanted = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (256 << 10)))
+    return int(min(max(1, wanted, -(-size // per)), 200_000))
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm_scoring, mixing, quality_rules, substring_dedup, url_filter
+from . import decontamination, html_text, lm_scoring, mixing, pii, quality_rules, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,14 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(pages).select("page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_hits")
 
 
+def op3_contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(_table(spark, sf_dir, "documents"), b"the key of the check queries").select("doc_id", "text", "n_values")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents")).drop("th", "frequent")
 
@@ -30,14 +38,21 @@ def op7_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.lm_scores(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
+    "op3_contaminated": op3_contaminated,
+    "op4_pseudonyms": op4_pseudonyms,
     "op5_quality_rules": op5_quality_rules,
     "op7_remove_repeats": op7_remove_repeats,
+    "op8_main_text": op8_main_text,
     "op9_lm_scores": op9_lm_scores,
     "op10_mix_sources": op10_mix_sources,
 }
