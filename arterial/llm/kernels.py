@@ -12,7 +12,7 @@ U64 = np.uint64
 SLICE_BYTES = 1 << 20  # of text handled at once: bounds the memory of a kernel
 
 
-def _splitmix(n: int, seed: int) -> np.ndarray:
+def splitmix(n: int, seed: int) -> np.ndarray:
     """The first n outputs of the public SplitMix64 generator."""
     with np.errstate(over="ignore"):
         z = U64(seed) + np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)
@@ -42,7 +42,7 @@ def _table(name: str) -> np.ndarray:
             t = np.arange(256, dtype=np.uint8)
             t[65:91] += 32
         else:
-            t = _splitmix(256, 0x5EED)
+            t = splitmix(256, 0x5EED)
         _cache[name] = t
     return _cache[name]
 
@@ -122,7 +122,7 @@ def window_hashes(words: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, U64)
-    factors = _splitmix(k, seed) | U64(1)
+    factors = splitmix(k, seed) | U64(1)
     acc = np.zeros(n, U64)
     for i in range(k):
         acc += words[i : i + n] * factors[i]

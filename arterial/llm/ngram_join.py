@@ -297,10 +297,10 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return saved(both.select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent), "a long, b long"))
 
 
-def jaccard_classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def jaccard_classes(docs: DataFrame, k: int, percent: int, id_type: str = "long") -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, cls) of each document, and (node, root) of the classes that have links. docs: doc_id, text."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
+    described = docs.mapInArrow(_describe(k), f"doc_id {id_type}, n_shingles long, cls long")
     shards = pieces(docs)
     text = docs.select("text")
     counts = key_counts(text, lambda batch: (h for _, _, h, _ in _sets(batch.column(0), k)), SKETCH)
@@ -315,23 +315,42 @@ def jaccard_classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, D
     ready = (F.col("star") == 0) | (F.col("n") >= F.col("need"))
     first = _links(pairs.where(ready), sets, percent)
     if long.isEmpty():
-        return docs.mapInArrow(_describe(k), "doc_id long, n_shingles long, cls long"), components(first)
+        return described, components(first)
     roots = components(first)
     rooted = long.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     open_lists = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
     cross = rooted.join(open_lists, "token").groupBy("token").applyInArrow(_cross_pairs(percent), PAIR)
     cross = cross.union(pairs.where(~ready).select("a", "b", "need", "n")).groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("n").alias("n")).where("n >= need")
     second = _links(cross.join(pairs.where(ready), ["a", "b"], "left_anti"), sets, percent)
-    return docs.mapInArrow(_describe(k), "doc_id long, n_shingles long, cls long"), components(first.union(second))
+    return described, components(first.union(second))
 
 
 def jaccard_components(df: DataFrame, k: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id, the smallest doc_id that links reach: one row a document."""
+    """doc_id, n_shingles, component_id (the smallest doc_id that links reach) and component (its key; null for an empty set): one row a document."""
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     described, roots = jaccard_classes(docs, k, percent)
     described = saved(described)
     full, empty = described.where("n_shingles > 0"), described.where("n_shingles = 0")
     least = full.groupBy("cls").agg(F.min("doc_id").alias("low")).join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = saved(least)
-    ids = least.select("cls", "root").join(least.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("cls", "component_id")
-    return full.join(ids, "cls").select("doc_id", "n_shingles", "component_id").union(empty.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    ids = least.select("cls", "root").join(least.groupBy("root").agg(F.min("low").alias("component_id")), "root")
+    found = full.join(ids, "cls").select("doc_id", "n_shingles", "component_id", F.col("root").alias("component"))
+    return found.union(empty.select("doc_id", "n_shingles", "doc_id", F.lit(None).cast("long")))
+
+
+def one_per_component(df: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """df with one document of each component: the smallest by id (null last), then by a hash of its text.
+
+    Rows that agree in id and text are one document. Documents without words all stay.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    key = [F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)).alias("_id"), F.xxhash64(t).alias("_th")]
+    named = df.withColumns({"_id": key[0], "_th": key[1]})
+    docs = named.select(F.struct("_id", "_th").alias("doc_id"), t.alias("text"))
+    described, roots = jaccard_classes(docs, k, percent, "struct<_id:bigint,_th:bigint>")
+    described = saved(described)
+    least = described.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("low")).join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+    keepers = least.groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("low").alias("low")).select("low._id", "low._th")
+    empty = described.where("n_shingles = 0").select("doc_id._id", "doc_id._th").distinct()
+    kept = named.join(keepers, ["_id", "_th"]).dropDuplicates(["_id", "_th"])
+    return kept.unionByName(named.join(empty, ["_id", "_th"], "left_semi")).select(*df.columns)

@@ -5,7 +5,8 @@ import pytest
 
 from arterial.llm import ngram_join
 from arterial.llm.components import components
-from arterial.llm.ngram_join import jaccard_components
+from arterial.llm.line_dedup import dedup_lines, shingles, signatures, similarities
+from arterial.llm.ngram_join import jaccard_components, one_per_component
 
 from .cases import SCHEMA, awkward, frame, key, prose
 
@@ -55,14 +56,14 @@ def near_copies(n, words, edits, seed, first_id):
 @pytest.mark.parametrize("percent", [50, 85])
 def test_components_against_brute_force(spark, percent):
     rows = awkward() + near_copies(60, 100, 5, 77, 1000) + near_copies(40, 30, 2, 78, 2000) + near_copies(9, 300, 12, 79, 3000)
-    got = sorted((tuple(r) for r in jaccard_components(frame(spark, rows), 4, percent).collect()), key=key)
+    got = sorted((tuple(r)[:3] for r in jaccard_components(frame(spark, rows), 4, percent).collect()), key=key)
     assert got == brute_components(rows, 4, percent)
 
 
 def test_components_on_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
-    got = sorted((tuple(r) for r in jaccard_components(docs).collect()), key=key)
+    got = sorted((tuple(r)[:3] for r in jaccard_components(docs).collect()), key=key)
     assert got == brute_components(rows, 4, 85)
 
 
@@ -85,3 +86,80 @@ def test_components_of_paths_stars_and_cliques(spark):
     groups = [range(201), range(500, 700), range(800, 808)]
     assert set(got) == {x for g in groups for x in g}
     assert all(len({got[x] for x in g}) == 1 for g in groups) and len({got[g[0]] for g in groups}) == 3
+
+
+def test_one_document_of_each_component_stays(spark):
+    rows = awkward() + near_copies(60, 100, 5, 77, 1000)
+    left = one_per_component(frame(spark, rows), 4, 85).collect()
+    parts = {}
+    for (i, n, c), r in zip(brute_components(rows, 4, 85), sorted(rows, key=key), strict=True):
+        parts.setdefault((c, r[1] if c is None else "") if n else None, []).append(i)
+    assert sorted(str(r.doc_id) for r in left if WORD.findall(r.text or "")) == sorted(str(min(v, key=lambda x: (x is None, x))) for k, v in parts.items() if k)
+    assert sum(not WORD.findall(r.text or "") for r in left) == len(parts[None])
+
+
+def brute_lines(rows, percent):
+    """doc_id, lines, removed and the text of each row, by comparing all lines."""
+    lower = lambda x: "".join(c.lower() if "A" <= c <= "Z" else c for c in x)
+    occurrences = []
+    for d, r in enumerate(rows):
+        for i, x in enumerate((r[1] or "").split("\n")):
+            if WORD.search(x):
+                x = lower(x)
+                shingles = {x[j : j + 10] for j in range(len(x) - 9)} or {x}
+                occurrences.append(((r[0] if r[0] is not None else 1 << 63, r[1]), i, d, shingles))
+    links = [(i, j) for i, a in enumerate(occurrences) for j, b in enumerate(occurrences[:i]) if 100 * len(a[3] & b[3]) >= percent * len(a[3] | b[3])]
+    root = roots(len(occurrences), links)
+    first = {}
+    for o, r in sorted(zip(occurrences, root, strict=True), key=lambda x: (x[0][0][0], x[0][1])):
+        first.setdefault(r, o[:2])
+    gone = {}
+    for o, r in zip(occurrences, root, strict=True):
+        if first[r] != o[:2]:
+            gone.setdefault(o[2], set()).add(o[1])
+    out = []
+    for d, r in enumerate(rows):
+        lines = (r[1] or "").split("\n")
+        out.append((r[0], sum(bool(WORD.search(x)) for x in lines), len(gone.get(d, ())), "\n".join(x for i, x in enumerate(lines) if i not in gone.get(d, ()))))
+    return sorted(out, key=key)
+
+
+def line_rows():
+    r = random.Random(4)
+    base = [prose(300 + i, 25) for i in range(6)]
+    rows = []
+    for d in range(60):
+        lines = []
+        for _ in range(r.randrange(1, 6)):
+            w = r.choice(base).split()
+            if r.random() < 0.7:
+                w[r.randrange(len(w))] = f"e{r.random()}"
+            lines.append(" ".join(w) if r.random() < 0.8 else prose(r.randrange(10**6), 20))
+        rows.append((5000 + d, "\n".join([*lines, "", "tail"]), "en", "s", 1))
+    return rows
+
+
+def test_lines_against_brute_force(spark):
+    rows = awkward() + line_rows()
+    got = sorted(((r.doc_id, r.n_lines, r.n_removed, r.text or "") for r in dedup_lines(frame(spark, rows)).collect()), key=key)
+    want = brute_lines(rows, 80)
+    assert [g[:3] for g in got] == [w[:3] for w in want] and got == want
+
+
+def test_line_similarity_is_exact():
+    import numpy as np
+
+    a, b = "the quick brown fox jumps över the lazy dog", "the quick brown fox jumps över the lazy cat"
+    pairs = [(a, b), (a, a), ("short", "short"), ("short", "other"), (a, "short")]
+    both, either = similarities([x.encode() for x, _ in pairs], [y.encode() for _, y in pairs])
+    for (x, y), n, m in zip(pairs, both, either, strict=True):
+        s, t = ({z[i : i + 10] for i in range(len(z) - 9)} or {z} for z in (x, y))
+        assert (n, m) == (len(s & t), len(s | t))
+    h, n = shingles(np.frombuffer((a + b).encode(), np.uint8), np.array([0, len(a.encode())]), np.array([len(a.encode()), len((a + b).encode())]))
+    assert signatures(h, n).shape == (2, 12)
+
+
+def test_no_lines(spark):
+    assert dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
+    clash = spark.createDataFrame([(1, "a\na", 7, "x")], "doc_id long, text string, n_lines long, root string")
+    assert [tuple(r) for r in dedup_lines(clash).collect()] == [(1, "a", "x", 2, 1)]
