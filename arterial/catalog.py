@@ -1,8 +1,5 @@
 """Every query of the engine by name, and the DuckDB SQL that gives the same rows."""
 
-from collections.abc import Callable
+from .plans.queries import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
