@@ -335,9 +335,9 @@ def g27_road_types(spark, sf_dir):
     return topology.road_type_summary(typed).select("road_type", "n_edges", r6("share").alias("share"), F.round("mean_score", 3).alias("mean_score"))
 
 
-#: Distances of the nation grid in scenarios cut(scenario_id, id).
+#: Distances of the nation grid in scenarios cut(scenario_id, id); detours there stay under 2000.
 CUT = """, live AS (SELECT s.scenario_id, n25.id FROM (SELECT DISTINCT scenario_id FROM cut) s, n25 WHERE NOT EXISTS (SELECT 1 FROM cut c WHERE c.scenario_id = s.scenario_id AND c.id = n25.id)),
-    walks(scenario_id, src, dst, d) AS (SELECT scenario_id, id, id, 0::DOUBLE FROM live UNION SELECT w.scenario_id, src, v, d + b.w FROM walks w JOIN b25 b ON b.u = dst JOIN live l ON l.scenario_id = w.scenario_id AND l.id = v WHERE d + b.w <= 1300),
+    walks(scenario_id, src, dst, d) AS (SELECT scenario_id, id, id, 0::DOUBLE FROM live UNION SELECT w.scenario_id, src, v, d + b.w FROM walks w JOIN b25 b ON b.u = dst JOIN live l ON l.scenario_id = w.scenario_id AND l.id = v WHERE d + b.w <= 2000),
     dists AS (SELECT scenario_id, src, dst, min(d) d FROM walks GROUP BY 1, 2, 3),
     sizes AS (SELECT scenario_id, count(*) n FROM live GROUP BY 1),
     eff AS (SELECT scenario_id, any_value(n) n, coalesce(sum(1 / d), 0) / (any_value(n) * (any_value(n) - 1)) efficiency FROM sizes LEFT JOIN (SELECT * FROM dists WHERE src <> dst) USING (scenario_id) GROUP BY 1)"""
