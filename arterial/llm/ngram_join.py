@@ -39,8 +39,9 @@ from .storage import saved
 
 SKETCH = 1 << 21
 SHORT_LIST = 16
-MAX_MATCH = 6
+MAX_MATCH = 8
 VERIFY_COST = 20.0  # in postings scanned
+CHANCE = 0.05  # candidates that any shingle may bring, however rare it looks in the sketch
 PAIR = "a long, b long, need int, n int"
 
 
@@ -101,9 +102,9 @@ def estimates(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.ceil(4 * np.log2(1 + excess)), 255).astype(np.uint8)
 
 
-def choose_match(q: np.ndarray, start: np.ndarray, sizes: np.ndarray, bound: Overlap) -> np.ndarray:
+def choose_match(q: np.ndarray, start: np.ndarray, sizes: np.ndarray, bound: Overlap, chance: float = 0.0) -> np.ndarray:
     """For each set the number of shared prefix shingles to ask for, by estimated cost."""
-    scan = np.concatenate([[0.0], np.cumsum(np.exp2(q / 4.0) - 1)])
+    scan = np.concatenate([[0.0], np.cumsum(np.exp2(q / 4.0) - 1 + chance)])
     best, cost = np.ones(len(sizes), np.int64), np.full(len(sizes), np.inf)
     for match in range(1, MAX_MATCH + 1):
         postings = scan[start + np.minimum(bound.probe(sizes, match), sizes)] - scan[start]
@@ -126,7 +127,7 @@ def _postings(k: int, percent: int, sketch: np.ndarray, shards: int):
                 order = np.lexsort((h, q, doc))
                 h, q = h[order], q[order]
                 start = np.cumsum(sizes) - sizes
-                match = choose_match(q, start, sizes, bound)
+                match = choose_match(q, start, sizes, bound, CHANCE)
                 rank = np.arange(len(h)) - start[doc]
                 inside = rank < np.minimum(bound.probe(sizes, match), sizes)[doc]
                 doc, h, rank = doc[inside], h[inside], rank[inside]
@@ -291,9 +292,13 @@ def _verify(percent: int):
     return verify
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link."""
-    both = pairs.select("a", "b").join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+def _links(pairs: DataFrame, text: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, by the whole sets of their classes, which one more scan of the texts brings."""
+    pairs = saved(pairs.select("a", "b"))
+    wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
+    sets = text.mapInArrow(_fetch(k, bloom(wanted, "cls")), "cls long, members binary")
+    sets = sets.join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
+    both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     return saved(both.select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent), "a long, b long"))
 
 
@@ -308,12 +313,9 @@ def jaccard_classes(docs: DataFrame, k: int, percent: int, id_type: str = "long"
     lists = saved(lists)
     pairs = saved(lists.mapInArrow(_first_pairs(percent), PAIR).groupBy("a", "b").agg(F.max("need").alias("need"), F.min("need").alias("star"), F.sum("n").alias("n")))
     long = saved(lists.mapInArrow(_long_postings, "token long, cls long, size long, rank long, need long"))
-    wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("cls")).union(long.select("cls")).distinct())
-    sets = text.mapInArrow(_fetch(k, bloom(wanted, "cls")), "cls long, members binary")
-    sets = saved(sets.join(wanted, "cls", "left_semi").dropDuplicates(["cls"]))
     # n counts stars as well, so what a pair shares is counted in full only together with the long lists below
     ready = (F.col("star") == 0) | (F.col("n") >= F.col("need"))
-    first = _links(pairs.where(ready), sets, percent)
+    first = _links(pairs.where(ready), text, k, percent)
     if long.isEmpty():
         return described, components(first)
     roots = components(first)
@@ -321,7 +323,7 @@ def jaccard_classes(docs: DataFrame, k: int, percent: int, id_type: str = "long"
     open_lists = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
     cross = rooted.join(open_lists, "token").groupBy("token").applyInArrow(_cross_pairs(percent), PAIR)
     cross = cross.union(pairs.where(~ready).select("a", "b", "need", "n")).groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("n").alias("n")).where("n >= need")
-    second = _links(cross.join(pairs.where(ready), ["a", "b"], "left_anti"), sets, percent)
+    second = _links(cross.join(pairs.where(ready), ["a", "b"], "left_anti"), text, k, percent)
     return described, components(first.union(second))
 
 
