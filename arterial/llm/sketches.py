@@ -43,30 +43,33 @@ def _counter(keys_of, width: int):
     return count
 
 
-def _adder(size: int, last: bool):
+def _adder(size: int, finish=None):
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(size, np.uint64)
         for raw in table.column("counts"):
             total += _unpack(raw.as_py(), size)
-        return pa.table({"slice": table.column("slice")[:1], "counts": pa.array([blob(total) if last else _pack(total)], pa.binary())})
+        return pa.table({"slice": table.column("slice")[:1], "counts": pa.array([finish(total) if finish else _pack(total)], pa.binary())})
 
     return add
 
 
-def key_counts(df: DataFrame, keys_of, width: int) -> np.ndarray:
-    """Counts of all keys modulo width, a power of two; keys_of yields arrays of hashes for a batch.
+def _slices(df: DataFrame, keys_of, width: int, finish) -> list[bytes]:
+    """The added-up counters of each slice, finished on the executors.
 
     Tasks are added up in groups of about the square root of their number, then all.
     """
     size = width // SLICES
     tasks = df.rdd.getNumPartitions()
     parts = df.mapInArrow(_counter(keys_of, width), "slice int, counts binary").withColumn("part", (F.spark_partition_id() / max(1, int(tasks**0.5))).cast("int"))
-    parts = parts.groupBy("slice", "part").applyInArrow(_adder(size, False), "slice int, counts binary")
-    rows = parts.groupBy("slice").applyInArrow(_adder(size, True), "slice int, counts binary").collect()
-    out = np.zeros(width, np.uint64)
-    for r in rows:
-        out[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(r["counts"], np.uint64)
-    return out
+    parts = parts.groupBy("slice", "part").applyInArrow(_adder(size), "slice int, counts binary")
+    rows = parts.groupBy("slice").applyInArrow(_adder(size, finish), "slice int, counts binary").collect()
+    return [bytes(r["counts"]) for r in sorted(rows, key=lambda r: r["slice"])]
+
+
+def key_counts(df: DataFrame, keys_of, width: int) -> np.ndarray:
+    """Counts of all keys modulo width, a power of two, up to 2**32 - 1; keys_of yields arrays of hashes for a batch."""
+    found = _slices(df, keys_of, width, lambda total: blob(np.minimum(total, 0xFFFFFFFF).astype(np.uint32)))
+    return np.concatenate([np.frombuffer(x, np.uint32) for x in found]) if found else np.zeros(width, np.uint32)
 
 
 BLOOM_BITS = 1 << 23  # one megabyte; more keys than it can tell apart only let more rows through
@@ -80,15 +83,12 @@ def _places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def bloom(df: DataFrame, column: str) -> bytes:
     """A Bloom filter of a bigint column."""
 
-    def keys_of(batch):
-        keys = batch.column(0).to_numpy(zero_copy_only=False).view(U64)
-        yield from _places(keys)
-
-    def keys_as_hashes(batch):
-        for places in keys_of(batch):
-            yield places.astype(U64)
+    def places(batch):
+        for at in _places(batch.column(0).to_numpy(zero_copy_only=False).view(U64)):
+            yield at.astype(U64)
 
-    return blob(np.packbits(key_counts(df.select(column).where(F.col(column).isNotNull()), keys_as_hashes, BLOOM_BITS) > 0))
+    found = _slices(df.select(column).where(F.col(column).isNotNull()), places, BLOOM_BITS, lambda total: blob(np.packbits(total > 0)))
+    return b"".join(found) if found else bytes(BLOOM_BITS // 8)
 
 
 def maybe_in(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:

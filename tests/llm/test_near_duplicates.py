@@ -80,9 +80,10 @@ def test_empty_table(spark):
     assert jaccard_components(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_components_of_paths_stars_and_cliques(spark):
+@pytest.mark.parametrize("finish", [2_000_000, 20])
+def test_components_of_paths_stars_and_cliques(spark, finish):
     links = [(i, i + 1) for i in range(200)] + [(500, i) for i in range(501, 700)] + [(800 + i, 800 + j) for i in range(8) for j in range(i)] + [(900, 900), (None, 1)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long"), finish).collect()}
     groups = [range(201), range(500, 700), range(800, 808)]
     assert set(got) == {x for g in groups for x in g}
     assert all(len({got[x] for x in g}) == 1 for g in groups) and len({got[g[0]] for g in groups}) == 3
