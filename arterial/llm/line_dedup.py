@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .exchange import blob, pieces, small_batches
-from .kernels import U64, lower_ascii, mix, signed, slices, span_hashes, splitmix, utf8, window_hashes, word_bounds
+from .kernels import U64, long_window_hashes, lower_ascii, mix, signed, slices, span_hashes, splitmix, utf8, word_bounds
 from .sketches import bloom, maybe_in
 from .storage import saved
 
@@ -57,7 +57,7 @@ def shingles(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray
     place = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     first, last = place[s], place[e]
     n = np.maximum(last - first - SHINGLE + 1, 1)
-    h = window_hashes(points, SHINGLE) if len(points) >= SHINGLE else np.zeros(0, U64)
+    h = long_window_hashes(points, SHINGLE)
     ends = np.cumsum(n)
     at = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n - first, n)
     out = np.zeros(len(at), U64)
@@ -204,25 +204,22 @@ def _fetch(wanted: bytes):
     return fetch
 
 
+MOST_PAIRS = 1 << 12  # compared at once: a pair's number and 52 bits of a shingle's hash share a word
+
+
 def similarities(left: list[bytes], right: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Sizes of intersection and union of the shingle sets of each pair of lines."""
-    owners, hashes = [], []
+    """Sizes of intersection and union of the shingle sets of each pair of lines, MOST_PAIRS at most."""
+    sides = []
     for side in (left, right):
-        data = np.frombuffer(b"".join(side), np.uint8)
         e = np.cumsum([len(x) for x in side])
-        h, n = shingles(data, e - [len(x) for x in side], e)
-        own = np.repeat(np.arange(len(side)), n)
-        order = np.lexsort((h, own))
-        own, h = own[order], h[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
-        owners.append(own[new])
-        hashes.append(h[new])
-    own, h = np.concatenate(owners), np.concatenate(hashes)
-    order = np.lexsort((h, own))
-    own, h = own[order], h[order]
-    both = np.bincount(own[1:][(h[1:] == h[:-1]) & (own[1:] == own[:-1])], minlength=len(left))
-    return both, np.bincount(own, minlength=len(left)) - both
+        h, n = shingles(np.frombuffer(b"".join(side), np.uint8), e - [len(x) for x in side], e)
+        own = np.sort(np.repeat(np.arange(len(side), dtype=U64) << U64(52), n) | (h >> U64(12)))
+        sides.append(own[np.append(True, own[1:] != own[:-1])])
+    keys = np.sort(np.concatenate(sides))
+    twice = keys[1:][keys[1:] == keys[:-1]]
+    at = lambda x: np.diff(np.append(np.searchsorted(x, np.arange(len(left), dtype=U64) << U64(52)), len(x)))
+    both = at(twice)
+    return both, at(keys) - both
 
 
 def _verify(percent: int):
@@ -232,7 +229,7 @@ def _verify(percent: int):
             keep, at = [], 0
             while at < len(left):  # a few hundred kilobytes at once
                 end, size = at, 0
-                while end < len(left) and (size < 1 << 19 or end == at):
+                while end < len(left) and end - at < MOST_PAIRS and (size < 1 << 19 or end == at):
                     size += len(left[end]) + len(right[end])
                     end += 1
                 both, either = similarities(left[at:end], right[at:end])
