@@ -28,7 +28,7 @@ give equal rows. An empty table gives an empty result.
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -152,10 +152,15 @@ def _read(table: pa.Table) -> list[np.ndarray]:
     return [np.concatenate([np.frombuffer(x, kind) for x in table.column(f).to_pylist()] or [np.zeros(0, kind)]).astype(kind if kind is U64 else np.int64) for f, kind in zip(FIELDS, KINDS, strict=True)]
 
 
-def _feasible(bound: Overlap, x_size, x_rank, x_need, y_size, y_rank):
-    """Can a smaller set x and a larger y, both with a shingle at these ranks, be linked, and is x's in its index prefix?"""
+def _feasible(bound: Overlap, x_size, x_rank, x_need, x_before, y_size, y_rank, y_before):
+    """Can a smaller set x and a larger y, both with a shingle at these ranks, be linked, and is x's in its index prefix?
+
+    before: how many earlier shingles of a set may be in the other at all. The order is
+    global, so common ones before this one stand in both prefixes, and only posted
+    shingles that another set posted too count.
+    """
     least = bound.pair(x_size, y_size)
-    most = np.minimum(x_rank, y_rank) + np.minimum(x_size - x_rank, y_size - y_rank)
+    most = np.minimum(x_before, y_before) + np.minimum(x_size - x_rank, y_size - y_rank)
     return (x_rank < bound.index(x_size, x_need)) & (100 * x_size >= bound.p * y_size) & (most >= least)
 
 
@@ -199,14 +204,15 @@ def _pairs(a, b, need) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "need": pa.array(need, pa.int32()), "n": pa.array(n, pa.int32())})
 
 
-def _within(bound: Overlap, token, cls, size, rank, need, root=None):
+def _within(bound: Overlap, token, cls, size, rank, need, before=None, root=None):
     """Feasible pairs of members of the same list, in different components if roots are given."""
     _, lengths = _bounds(token)
+    before = rank if before is None else before
     out = [(np.zeros(0, np.int64),) * 3]
     for d in range(1, int(lengths.max()) if len(lengths) else 0):
         i = np.flatnonzero(token[d:] == token[:-d])
         j = i + d
-        ok = _feasible(bound, size[i], rank[i], need[i], size[j], rank[j])
+        ok = _feasible(bound, size[i], rank[i], need[i], before[i], size[j], rank[j], before[j])
         if root is not None:
             ok &= root[i] != root[j]
         i, j = i[ok], j[ok]
@@ -232,28 +238,28 @@ def _first_pairs(percent: int):
                         other = np.delete(np.arange(n), hub)
                         low, high = np.minimum(other, hub), np.maximum(other, hub)
                         c, z, p, m = cls[part], size[part], rank[part], need[part]
-                        ok = _feasible(bound, z[low], p[low], m[low], z[high], p[high])
+                        ok = _feasible(bound, z[low], p[low], m[low], p[low], z[high], p[high], p[high])
                         yield _pairs(c[low[ok]], c[high[ok]], np.zeros(int(ok.sum()), np.int64))
 
     return pairs
 
 
-def _long_postings(batches):
+def _rows(batches):
+    """Every posting of the shared lists as a row, with the length of its list."""
     for batch in batches:
         for r in range(batch.num_rows):
             token, cls, size, rank, need = _read(pa.Table.from_batches([batch.slice(r, 1)]))
             _, length = _bounds(token)
-            long = np.repeat(length > SHORT_LIST, length)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(token[long])), *(pa.array(c[long], pa.int64()) for c in (cls, size, rank, need))], list(FIELDS))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(token)), *(pa.array(c, pa.int64()) for c in (cls, size, rank, need, np.repeat(length, length)))], [*FIELDS, "length"])
 
 
 def _cross_pairs(percent: int):
     bound = Overlap(percent)
 
     def cross(table: pa.Table) -> pa.Table:
-        token, cls, size, rank, need, root = (table.column(c).to_numpy() for c in (*FIELDS, "root"))
+        token, cls, size, rank, need, before, root = (table.column(c).to_numpy() for c in (*FIELDS, "before", "root"))
         order = np.lexsort((cls, size, token))
-        return pa.Table.from_batches([_within(bound, *(c[order] for c in (token, cls, size, rank, need, root)))])
+        return pa.Table.from_batches([_within(bound, *(c[order] for c in (token, cls, size, rank, need, before, root)))])
 
     return cross
 
@@ -312,7 +318,9 @@ def jaccard_classes(docs: DataFrame, k: int, percent: int, id_type: str = "long"
     lists = text.mapInArrow(_postings(k, percent, estimates(counts), shards), LIST).groupBy("shard").applyInArrow(_shared(percent), LIST)
     lists = saved(lists)
     pairs = saved(lists.mapInArrow(_first_pairs(percent), PAIR).groupBy("a", "b").agg(F.max("need").alias("need"), F.min("need").alias("star"), F.sum("n").alias("n")))
-    long = saved(lists.mapInArrow(_long_postings, "token long, cls long, size long, rank long, need long"))
+    before = F.row_number().over(Window.partitionBy("cls").orderBy("rank")).cast("long") - 1
+    rows = lists.mapInArrow(_rows, "token long, cls long, size long, rank long, need long, length long").withColumn("before", before)
+    long = saved(rows.where(F.col("length") > SHORT_LIST).drop("length"))
     # n counts stars as well, so what a pair shares is counted in full only together with the long lists below
     ready = (F.col("star") == 0) | (F.col("n") >= F.col("need"))
     first = _links(pairs.where(ready), text, k, percent)
@@ -321,7 +329,7 @@ def jaccard_classes(docs: DataFrame, k: int, percent: int, id_type: str = "long"
     roots = components(first)
     rooted = long.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     open_lists = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    cross = rooted.join(open_lists, "token").groupBy("token").applyInArrow(_cross_pairs(percent), PAIR)
+    cross = rooted.join(open_lists, "token").select(*FIELDS, "before", "root").groupBy("token").applyInArrow(_cross_pairs(percent), PAIR)
     cross = cross.union(pairs.where(~ready).select("a", "b", "need", "n")).groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("n").alias("n")).where("n >= need")
     second = _links(cross.join(pairs.where(ready), ["a", "b"], "left_anti"), text, k, percent)
     return described, components(first.union(second))
