@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from arterial.llm import ngram_join
+from arterial.llm import line_dedup, ngram_join
 from arterial.llm.components import components
 from arterial.llm.line_dedup import dedup_lines, shingles, signatures, similarities
 from arterial.llm.ngram_join import jaccard_components, one_per_component
@@ -147,6 +147,27 @@ def test_lines_against_brute_force(spark):
     assert [g[:3] for g in got] == [w[:3] for w in want] and got == want
 
 
+def family_rows():
+    """A notice with own tails, at 0.7 to each other, of which some have a copy at 0.85 to 0.9."""
+    r = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    head = "".join(r.choice(letters) for _ in range(250))
+    tails = ["".join(r.choice(letters) for _ in range(52)) for _ in range(500)]
+    lines = [head + t for t in tails] + [head + t[:32] + "".join(r.choice(letters) for _ in range(20)) for t in tails[:120]]
+    r.shuffle(lines)
+    return [(8000 + i, "\n".join(lines[i : i + 10]), "en", "s", 1) for i in range(0, len(lines), 10)]
+
+
+def test_pairs_in_a_family_of_similar_lines(spark, monkeypatch):
+    rows = family_rows()
+    want = brute_lines(rows, 80)
+    assert 110 < sum(w[2] for w in want) < 130
+    for block in (line_dedup.BLOCK, 7):
+        monkeypatch.setattr(line_dedup, "BLOCK", block)
+        got = sorted(((r.doc_id, r.n_lines, r.n_removed, r.text or "") for r in dedup_lines(frame(spark, rows)).collect()), key=key)
+        assert got == want
+
+
 def test_line_similarity_is_exact():
     import numpy as np
 
