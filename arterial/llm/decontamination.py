@@ -3,7 +3,8 @@
 Texts are lower-cased and cut into words of letters and digits. For each item length m a
 window is m consecutive words of a document; its shingles are its 5-word sequences,
 each weighing the bytes of its words. A window matches an item of its length if the
-weighted Jaccard similarity of their shingle multisets is at least 0.8.
+weighted Jaccard similarity of their shingle multisets is at least 0.8. A document of
+fewer words than an item is its own, only window for that item.
 
 1. Windows are scanned at every word. The weight of a window's shingles that occur in
    any item at all bounds its similarity to each of them from above, so windows under
@@ -153,9 +154,10 @@ def matches(items: Items, words: np.ndarray, sizes: np.ndarray) -> dict[int, tup
         all_weight, hit_weight = np.concatenate([[0], np.cumsum(w)]), np.concatenate([[0], np.cumsum(w * hit)])
         sums = None
         for m in items.of_length:
-            if min(K, m) != k or m > len(words):
+            if min(K, m) != k:
                 continue
-            n = m - k + 1
+            size = min(m, len(words))
+            n = size - k + 1
             possible = np.flatnonzero(hit_weight[n:] - hit_weight[:-n] >= THRESHOLD * (all_weight[n:] - all_weight[:-n]))
             if not len(possible):
                 continue
@@ -167,7 +169,7 @@ def matches(items: Items, words: np.ndarray, sizes: np.ndarray) -> dict[int, tup
                     window[x] += y
                 value = similarity(window, items.shingles[item])
                 if value >= THRESHOLD and (item not in best or value > best[item][0]):
-                    best[item] = (value, s, m)
+                    best[item] = (value, s, size)
     return best
 
 

@@ -116,6 +116,16 @@ def test_contamination_against_brute_force(spark):
     assert dc.contaminated(docs, bench.limit(0)).count() == 0 and dc.decontaminated(docs, bench.limit(0)).count() == len(rows)
 
 
+def test_documents_shorter_than_an_item(spark):
+    words = [f"word{i}" for i in range(40)]
+    rows = [(1, " ".join(words[:39]), "en", "s", 1), (2, " ".join(words[1:]), "en", "s", 1), (3, " ".join(words[:30]), "en", "s", 1), (4, "word0 word1", "en", "s", 1), (5, " ".join(words), "en", "s", 1), (6, "one two three four", "en", "s", 1)]
+    bench = spark.createDataFrame([(7, " ".join(words)), (8, "one two three four five")], "item_id long, text string")
+    docs = frame(spark, rows)
+    got = {(r.doc_id, r.item_id): (round(r.similarity, 2), r.start_word, r.n_words) for r in dc.contaminated(docs, bench).collect()}
+    assert got == {(1, 7): (0.97, 0, 39), (2, 7): (0.98, 0, 39), (5, 7): (1.0, 0, 40)}
+    assert {r.doc_id for r in dc.decontaminated(docs, bench).collect()} == {3, 4, 6}
+
+
 def test_contamination_on_documents(spark):
     docs, bench = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
     got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in dc.contaminated(docs, bench).collect()}
