@@ -1,142 +1,260 @@
 """Language-model scoring with a weighted backoff automaton.
 
-The model is a bigram model with Dirichlet smoothing over a unigram model whose mass
-for unseen words is the share of words seen once (Good-Turing):
+The model is an n-gram model of a given order (3), with Dirichlet smoothing over a
+unigram model whose mass for unseen words is the share of words seen once (Good-Turing):
 
     p(w)     = (1 - u) * c(w) / N,  or u for the one symbol of all unseen words
-    p(w | v) = (c(v, w) + mu * p(w)) / (c(v) + mu)
+    p(w | h) = (c(h w) + mu * p(w | h')) / (c(h) + mu),   h' = h without its first word
 
-As an automaton: the root has an arc for each word, of weight log10 p(w). Each training
-word v, and the start of a text, is a state; each seen pair (v, w) is an arc of weight
-log10 p(w | v) that leads to state w; the failure arc of v has the weight
-log10(mu / (c(v) + mu)) and leads to the root. Scoring reads a text once from left to
-right, takes the arc of its state or else falls to the root, and adds up the weights.
-An unseen word leads to the root. The state after a word depends on that word alone, so
-the kernel can look up the arcs of all positions of a group at once.
+As an automaton: each history h of up to order - 1 words that training has at least
+twice is a state, the start of a text and the empty history, the root, are others. Each
+word seen after h is an arc, of weight log10 p(w | h), that leads to the longest
+history which ends in w and is a state. The failure arc of h leads to h' and weighs
+log10(mu / (c(h) + mu)). A history seen once is no state, so its longest suffix that is
+one speaks for it; the weights of a state's arcs add up to a probability of 1.
+
+Scoring walks a text from left to right, once. It carries the state, pays a failure
+arc for each state that has no arc for the next word, then takes the arc. The root has
+an arc for every word, unseen ones too. The texts of a group are walked side by side;
+pieces of a long text are walked at the same time, each after a run-up over the
+order - 1 words before it, after which the state doesn't depend on what came earlier.
 
 The model grows with the corpus and is never in one place. Groups of documents send
-their distinct n-grams with training counts to shards of the key space; shards add up
-and answer in the same order, so each group holds exactly the part of the automaton
-that its own texts can reach. Documents are dealt out once.
+their distinct n-grams with training counts to shards of the key space, which add up
+and answer in the same order: words and pairs first, then level by level the longer
+ones whose history is a state. So each group holds exactly that part of the automaton
+which its own texts can reach.
 
-Null text: empty, scored as its end token. Null doc_id: held out. An empty table gives
-an empty result. Without training tokens every probability is 1.
+Null text: empty, scored as its end token. Null doc_id: held out. Repeated rows are
+documents of their own. An empty table gives an empty result. Without training tokens
+every probability is 1.
 """
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import blob, grouped, pieces, shard_cuts, small_batches, totals
+from .exchange import KEY_BITS, grouped, pack_counts, pack_keys, parts, pieces, placed, small_batches, totals, unpack_counts, unpack_keys
 from .kernels import U64, lower_ascii, mix, slices, span_hashes, utf8, word_bounds
 
 END, START = U64(0xE0D), U64(0x57A)
-REQUEST = "shard int, g int, docs long, uni binary, uni_n binary, bi binary, bi_n binary"
-ANSWER = "g int, shard int, docs long, tokens long, types long, once long, uni_n binary, bi_n binary"
+LEAST_HISTORY = 2  # training occurrences that make a history a state
+PIECE = 256  # tokens of a text walked in one go
+MOST_KEYS = 1 << 21  # that a task gathers before it sends them
+SENT = "shard int, g int, level int, keys binary, n binary"
+ANSWER = "g int, shard int, level int, n binary"
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 10 == 0, F.lit(True))
 
 
-def _narrow(counts: np.ndarray) -> bytes:
-    top = int(counts.max()) if len(counts) else 0
-    return blob(counts.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(t).max)))
+def tokens_of(column) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each token, the end of each text included, and each text's number of tokens."""
+    data, off = utf8(column)
+    tokens, sizes = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+    for i, j in slices(off):
+        part = lower_ascii(data[off[i] : off[j]])
+        s, e, first = word_bounds(part, off[i : j + 1] - off[i])
+        n = np.diff(first)
+        out = np.full(len(s) + j - i, END, U64)
+        out[np.arange(len(s)) + np.repeat(np.arange(j - i), n)] = span_hashes(part, s, e)
+        tokens.append(out)
+        sizes.append(n + 1)
+    return np.concatenate(tokens), np.concatenate(sizes)
 
 
-def _wide(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{len(raw) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
+class _Ngrams:
+    """A group's tokens and, level by level, its distinct n-grams with the one that ends at each token (-1: none)."""
 
+    def __init__(self, docs: pa.Table, shards: int):
+        self.tokens, self.sizes = tokens_of(docs.column("text"))
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.place = np.arange(len(self.tokens)) - np.repeat(self.first, self.sizes)
+        self.learn = np.repeat(~np.asarray(docs.column("held_out").to_numpy(zero_copy_only=False), bool), self.sizes)
+        self.shards = shards
+        self.hashes = mix(self.tokens + U64(1))
+        self.keys: list[np.ndarray] = []
+        self.last: list[np.ndarray] = []  # a token at which each n-gram ends
+        self.at: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
 
-class _Ngrams:
-    """The tokens of a group, and its distinct words and pairs in sorted order."""
-
-    def __init__(self, docs: pa.Table):
-        data, off = utf8(docs.column("text"))
-        tokens, sizes = [], []
-        for i, j in slices(off):
-            part = lower_ascii(data[off[i] : off[j]])
-            s, e, first = word_bounds(part, off[i : j + 1] - off[i])
-            n = np.diff(first)
-            out = np.full(len(s) + j - i, END, U64)
-            out[np.arange(len(s)) + np.repeat(np.arange(j - i), n)] = span_hashes(part, s, e)
-            tokens.append(out)
-            sizes.append(n + 1)
-        self.tokens = np.concatenate(tokens) if tokens else np.zeros(0, U64)
-        self.sizes = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-        self.first = np.concatenate([[0], np.cumsum(self.sizes)])
-        before = np.concatenate([[START], self.tokens[:-1]])[: len(self.tokens)]
-        before[self.first[:-1]] = START
-        self.before_is_start = np.zeros(len(self.tokens), bool)
-        self.before_is_start[self.first[:-1]] = True
-        self.words, self.word_at = np.unique(self.tokens, return_inverse=True)
-        self.pairs, self.pair_at = np.unique(mix(before * U64(0x9E3779B97F4A7C15) + self.tokens), return_inverse=True)
+    def add_level(self, only: np.ndarray | None = None) -> None:
+        """The next longer n-grams; only: at these tokens."""
+        level = len(self.keys) + 1
+        if level > 1:
+            before = np.concatenate([[START], self.hashes[:-1]])[: len(self.hashes)]
+            before[self.first] = START
+            self.hashes = mix(before * U64(0x9E3779B97F4A7C15) + self.tokens + U64(level))
+        there = np.flatnonzero((self.place >= level - 2) & (True if only is None else only))
+        keys, last, at = np.unique(placed(self.hashes[there], self.shards), return_index=True, return_inverse=True)
+        self.keys.append(keys)
+        self.last.append(there[last])
+        self.at.append(np.full(len(self.tokens), -1, np.int32))
+        self.at[-1][there] = at
+
+    def training_counts(self, level: int) -> np.ndarray:
+        at = self.at[level - 1][self.learn]
+        return np.bincount(at[at >= 0], minlength=len(self.keys[level - 1]))
+
+    def read(self, answers: pa.Table, level: int) -> None:
+        """The counts that shards have sent for a level."""
+        keys = self.keys[level - 1]
+        where, out = dict(parts(keys >> U64(KEY_BITS))), np.zeros(len(keys), np.int64)
+        mine = answers.filter(pc.equal(answers.column("level"), level))
+        for s, raw in zip(mine.column("shard").to_pylist(), mine.column("n").to_pylist(), strict=True):
+            out[where[s]] = unpack_counts(raw, where[s].stop - where[s].start)
+        self.counts.append(out)
+
+    def states_of(self, level: int, train: dict) -> np.ndarray:
+        """For each token, how often training has the history of level - 1 words (or the start) before it; 0 if there is none."""
+        n = np.zeros(len(self.tokens), np.int64)
+        if level == 2:
+            n[1:] = self.counts[0][self.at[0][:-1]]
+            n[self.first] = train["docs"]
+        else:
+            at = self.at[level - 2][:-1]
+            n[1:][at >= 0] = self.counts[level - 2][at[at >= 0]]
+            n[self.first] = 0
+        return n
+
+    def grow(self, answers: pa.Table, levels: int, train: dict) -> None:
+        """All levels up to this one with their counts; n-grams without a state are left out from level 3 on."""
+        for level in range(1, levels + 1):
+            self.add_level(self.states_of(level, train) >= LEAST_HISTORY if level > 2 else None)
+            self.read(answers, level)
+
+    def request(self, group: int, levels: list[int]) -> pa.Table:
+        rows = []
+        for level in levels:
+            keys, n = self.keys[level - 1], self.training_counts(level)
+            rows += [(s, level, pack_keys(keys[p]), pack_counts(n[p])) for s, p in parts(keys >> U64(KEY_BITS))]
+        shard, level, keys, n = zip(*rows, strict=True) if rows else ((), (), (), ())
+        return pa.table({"shard": pa.array(shard, pa.int32()), "g": pa.array([group] * len(rows), pa.int32()), "level": pa.array(level, pa.int32()), "keys": pa.array(keys, pa.binary()), "n": pa.array(n, pa.binary())})
 
 
 def _ask(shards: int):
     def ask(docs: pa.Table) -> pa.Table:
-        group, x = docs.column("g")[0].as_py(), _Ngrams(docs)
-        learn = ~np.asarray(docs.column("held_out").to_numpy(zero_copy_only=False), bool)
-        each = np.repeat(learn, x.sizes).astype(np.float64)
-        word_n = np.bincount(x.word_at, weights=each, minlength=len(x.words)).astype(np.int64)
-        pair_n = np.bincount(x.pair_at, weights=each, minlength=len(x.pairs)).astype(np.int64)
-        cw, cp = shard_cuts(x.words, shards), shard_cuts(x.pairs, shards)
-        rows = range(shards)
-        return pa.table(
-            {
-                "shard": pa.array(rows, pa.int32()), "g": pa.array([group] * shards, pa.int32()), "docs": pa.array([int(learn.sum()) if s == 0 else 0 for s in rows], pa.int64()),
-                "uni": pa.array([blob(x.words[cw[s] : cw[s + 1]]) for s in rows], pa.binary()), "uni_n": pa.array([_narrow(word_n[cw[s] : cw[s + 1]]) for s in rows], pa.binary()),
-                "bi": pa.array([blob(x.pairs[cp[s] : cp[s + 1]]) for s in rows], pa.binary()), "bi_n": pa.array([_narrow(pair_n[cp[s] : cp[s + 1]]) for s in rows], pa.binary()),
-            }
-        )
+        x = _Ngrams(docs, shards)
+        x.add_level()
+        x.add_level()
+        return x.request(docs.column("g")[0].as_py(), [1, 2])
+
+    return ask
+
+
+def _ask_longer(shards: int, level: int, train: dict):
+    def ask(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        x = _Ngrams(docs, shards)
+        if not docs.num_rows:
+            return x.request(0, [])
+        x.grow(answers, level - 1, train)
+        x.add_level(x.states_of(level, train) >= LEAST_HISTORY)
+        return x.request(docs.column("g")[0].as_py(), [level])
 
     return ask
 
 
 def _add_up(asked: pa.Table) -> pa.Table:
-    n = asked.num_rows
-    columns = {"g": asked.column("g").cast(pa.int32()), "shard": asked.column("shard").cast(pa.int32())}
-    answers = {}
-    for kind in ("uni", "bi"):
-        keys = [np.frombuffer(x, U64) for x in asked.column(kind).to_pylist()]
-        counts = [_wide(c, len(k)) for c, k in zip(asked.column(f"{kind}_n").to_pylist(), keys, strict=True)]
-        where, total = totals(keys, counts)
-        ends = np.cumsum([len(k) for k in keys])
-        answers[f"{kind}_n"] = pa.array([_narrow(total[w]) for w in np.split(where, ends[:-1])], pa.binary())
-        if kind == "uni":
-            for name, value in (("docs", sum(asked.column("docs").to_pylist())), ("tokens", total.sum()), ("types", (total > 0).sum()), ("once", (total == 1).sum())):
-                columns[name] = pa.array([int(value)] * n, pa.int64())
-    return pa.table(columns | answers)
-
-
-def _score(shards: int, mu: float):
-    def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        x = _Ngrams(docs)
-        order = np.argsort(answers.column("shard").to_numpy())
-        counted = {}
-        for kind, keys in (("uni", x.words), ("bi", x.pairs)):
-            cuts, raw = shard_cuts(keys, shards), answers.column(f"{kind}_n").to_pylist()
-            counted[kind] = np.concatenate([_wide(raw[r], cuts[s + 1] - cuts[s]) for s, r in enumerate(order)])
-        n, v, once, n_docs = (sum(answers.column(c).to_pylist()) for c in ("tokens", "types", "once", "docs"))
-        word_n, pair_n = counted["uni"], counted["bi"]
-        base = np.log10((word_n + 0.1) / (n + 0.1 * (v + 1)))
+    """The summed count of each key of each group and level, in the order asked."""
+    out = [None] * asked.num_rows
+    levels, keys, counts = (asked.column(c).to_pylist() for c in ("level", "keys", "n"))
+    for level in set(levels):
+        rows = [r for r, x in enumerate(levels) if x == level]
+        own = [unpack_keys(keys[r]) for r in rows]
+        where, total = totals(own, [unpack_counts(counts[r], len(k)) for r, k in zip(rows, own, strict=True)])
+        for r, w in zip(rows, np.split(where, np.cumsum([len(k) for k in own])[:-1]), strict=True):
+            out[r] = pack_counts(total[w])
+    return pa.table({"g": asked.column("g").cast(pa.int32()), "shard": asked.column("shard").cast(pa.int32()), "level": asked.column("level").cast(pa.int32()), "n": pa.array(out, pa.binary())})
+
+
+class Automaton:
+    """States and arcs that a group's texts can reach; arcs are listed by the token at which a text could take them."""
+
+    def __init__(self, x: _Ngrams, train: dict, mu: tuple[float, ...]):
+        n, once = train["tokens"], train["once"]
         unseen = min(max(once, 1) / (n + 1), 0.5) if n else 1.0
-        root = np.where(word_n > 0, (1 - unseen) * word_n / max(n, 1), unseen)
-        root_arc = np.log10(root)
-        # the state that each token is read in: the word before it, or the start of the text
-        state_n = np.concatenate([[0], word_n[x.word_at[:-1]]])[: len(x.tokens)]
-        state_n[x.before_is_start] = n_docs
-        seen = pair_n[x.pair_at]
-        fail = np.log10(mu / (state_n + mu))
-        p_root = root[x.word_at]
-        weight = np.where(seen > 0, np.log10((seen + mu * p_root) / (state_n + mu)), fail + root_arc[x.word_at])
-        add = lambda values: np.add.reduceat(values, x.first[:-1]) if len(x.sizes) else np.zeros(0)
-        rows = docs.num_rows
+        p = np.where(x.counts[0] > 0, (1 - unseen) * x.counts[0] / max(n, 1), unseen)
+        levels = len(x.keys)
+        # states: the root, the start of a text, then the n-grams of each level but the last
+        base = np.cumsum([2, *(len(k) for k in x.keys)])
+        state = [np.where(c >= LEAST_HISTORY, base[k] + np.arange(len(c)), -1) for k, c in enumerate(x.counts[: levels - 1])]
+        self.start = 1 if levels > 1 and train["docs"] >= LEAST_HISTORY else 0
+        size = int(base[max(levels - 1, 0)])
+        self.depth, self.fail_to, self.fail_weight = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size)
+        if levels > 1:
+            self.depth[1], self.fail_weight[1] = 1, np.log10(mu[0] / (train["docs"] + mu[0]))
+        longest, reached = np.zeros(len(x.tokens), np.int64), []  # for each token the longest history of up to k words that is a state
+        for k in range(levels - 1):
+            own = np.arange(base[k], base[k + 1])
+            self.depth[own] = k + 1
+            self.fail_weight[own] = np.log10(mu[k] / (x.counts[k] + mu[k]))
+            self.fail_to[own] = longest[x.last[k]]  # the longest shorter history that is a state
+            here = x.at[k] >= 0
+            found = state[k][x.at[k][here]]
+            longest[here] = np.where(found >= 0, found, longest[here])
+            reached.append(longest.copy())
+        # arcs: those of the root, then of each level's histories; -1 where a text finds none
+        arc_base = np.cumsum([0, *(len(k) for k in x.keys)])
+        self.arc_weight, self.arc_to = np.zeros(arc_base[-1]), np.zeros(arc_base[-1], np.int64)
+        self.arc_at = np.full((levels, len(x.tokens)), -1, np.int32)
+        for k in range(levels):
+            if k:
+                history = x.states_of(k + 1, train)[x.last[k]]
+                p = (x.counts[k] + mu[k - 1] * p[x.at[k - 1][x.last[k]]]) / (history + mu[k - 1])
+                there = (x.counts[k] > 0) & (history >= LEAST_HISTORY)
+            else:
+                there = np.ones(len(p), bool)
+            own = slice(arc_base[k], arc_base[k + 1])
+            self.arc_weight[own], self.arc_to[own] = np.log10(p), reached[min(k, levels - 2)][x.last[k]]
+            here = np.flatnonzero(x.at[k] >= 0)
+            here = here[there[x.at[k][here]]]
+            self.arc_at[k, here] = arc_base[k] + x.at[k][here]
+
+    def walk(self, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The log10 probability of each text, given by its first token and size."""
+        run_up = len(self.arc_at) - 1
+        per = -(-sizes // PIECE)
+        doc = np.repeat(np.arange(len(sizes)), per)
+        number = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
+        begin = first[doc] + PIECE * number
+        end = np.minimum(begin + PIECE, (first + sizes)[doc])
+        at = np.where(number > 0, begin - run_up, begin)
+        order = np.argsort(at - end, kind="stable")  # the longest first, so those still under way are the first ones
+        at, begin, length = at[order], begin[order], (end - at)[order]
+        state = np.where(number[order] > 0, 0, self.start)
+        score = np.zeros(len(at))
+        arcs, width = self.arc_at.ravel(), self.arc_at.shape[1]
+        for step in range(int(length[0]) if len(length) else 0):
+            n = int(np.searchsorted(-length, -step))
+            i, s, weight = at[:n] + step, state[:n], np.zeros(n)
+            arc = arcs[self.depth[s] * width + i]
+            stuck = np.flatnonzero(arc < 0)
+            while len(stuck):
+                here = s[stuck]
+                weight[stuck] += self.fail_weight[here]
+                s[stuck] = self.fail_to[here]
+                arc[stuck] = arcs[self.depth[s[stuck]] * width + i[stuck]]
+                stuck = stuck[arc[stuck] < 0]
+            score[:n] += np.where(i >= begin[:n], weight + self.arc_weight[arc], 0.0)
+            state[:n] = self.arc_to[arc]
+        return np.bincount(doc[order], weights=score, minlength=len(sizes))
+
+
+def _score(shards: int, levels: int, train: dict, mu: tuple[float, ...]):
+    def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        x = _Ngrams(docs, shards)
+        x.grow(answers, levels, train)
+        rows, n, v = docs.num_rows, train["tokens"], train["types"]
+        counts = x.counts[0][x.at[0]]
+        add = lambda values: np.add.reduceat(values, x.first) if rows else np.zeros(0)
+        base = np.log10((counts + 0.1) / (n + 0.1 * (v + 1)))
         return pa.table(
             {
-                "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(x.sizes, pa.int64()), "n_known": pa.array(add((word_n[x.word_at] > 0).astype(np.int64)), pa.int64()),
-                "train_tokens": pa.array([n] * rows, pa.int64()), "base_score": pa.array(add(base[x.word_at]), pa.float64()), "score": pa.array(add(weight), pa.float64()),
+                "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(x.sizes, pa.int64()), "n_known": pa.array(add((counts > 0).astype(np.int64)), pa.int64()),
+                "train_tokens": pa.array([n] * rows, pa.int64()), "base_score": pa.array(add(base), pa.float64()), "score": pa.array(Automaton(x, train, mu).walk(x.first, x.sizes), pa.float64()),
             }
         )
 
@@ -146,14 +264,66 @@ def _score(shards: int, mu: float):
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def lm_scores(df: DataFrame, mu: float = 8.0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document, as RESULT; scores are log10 probabilities of the whole text with its end."""
+def _words(shards: int):
+    """Distinct words of training texts with their counts, a bounded number at a time; shard -1 counts texts."""
+
+    def words(batches):
+        texts, gathered, size = 0, [], 0
+
+        def send():
+            keys, at = np.unique(np.concatenate([k for k, _ in gathered]), return_inverse=True)
+            n = np.bincount(at, weights=np.concatenate([c for _, c in gathered])).astype(np.int64)
+            ranges = parts(keys >> U64(KEY_BITS))
+            return pa.RecordBatch.from_arrays([pa.array([s for s, _ in ranges], pa.int32()), pa.array([pack_keys(keys[p]) for _, p in ranges], pa.binary()), pa.array([pack_counts(n[p]) for _, p in ranges], pa.binary())], ["shard", "keys", "n"])
+
+        for batch in batches:
+            texts += batch.num_rows
+            tokens, _ = tokens_of(batch.column(0))
+            keys, n = np.unique(placed(mix(tokens + U64(1)), shards), return_counts=True)
+            gathered.append((keys, n))
+            size += len(keys)
+            if size > MOST_KEYS:
+                yield send()
+                gathered, size = [], 0
+        if size:
+            yield send()
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([b""], pa.binary()), pa.array([pack_counts(np.array([texts]))], pa.binary())], ["shard", "keys", "n"])
+
+    return words
+
+
+def _sum_words(sent: pa.Table) -> pa.Table:
+    counts = sent.column("n").to_pylist()
+    if sent.column("shard")[0].as_py() < 0:
+        found = {"docs": int(sum(unpack_counts(c, 1)[0] for c in counts)), "tokens": 0, "types": 0, "once": 0}
+    else:
+        own = [unpack_keys(k) for k in sent.column("keys").to_pylist()]
+        _, total = totals(own, [unpack_counts(c, len(k)) for c, k in zip(counts, own, strict=True)])
+        found = {"docs": 0, "tokens": int(total.sum()), "types": len(total), "once": int((total == 1).sum())}
+    return pa.table({k: pa.array([v], pa.int64()) for k, v in found.items()})
+
+
+def training_totals(texts: DataFrame, shards: int) -> dict[str, int]:
+    """Numbers of texts, tokens, distinct tokens and tokens seen once; texts: one column."""
+    sums = texts.mapInArrow(_words(shards), "shard int, keys binary, n binary").groupBy("shard").applyInArrow(_sum_words, "docs long, tokens long, types long, once long")
+    return sums.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums.columns)).first().asDict()
+
+
+def lm_scores(df: DataFrame, mu: tuple[float, ...] = (8.0, 2.0), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row a document, as RESULT; scores are log10 probabilities of the whole text with its end.
+
+    mu: the smoothing weight of histories of one word, two words, and so on; it sets the order, len(mu) + 1, which is 2 at least.
+    """
     small_batches(df.sparkSession)
     n = pieces(df)
-    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    docs = grouped(docs, ["doc_id", "text", held_out(F.col("doc_id")).alias("held_out")], n)
-    answers = docs.groupBy("g").applyInArrow(_ask(n), REQUEST).groupBy("shard").applyInArrow(_add_up, ANSWER)
-    return docs.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_score(n, mu), RESULT)
+    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
+    train = training_totals(docs.where(~F.col("held_out")).select("text"), n)
+    docs = grouped(docs, ["doc_id", "text", "held_out"], n)
+    add_up = lambda sent: sent.groupBy("shard").applyInArrow(_add_up, ANSWER)
+    answers = add_up(docs.groupBy("g").applyInArrow(_ask(n), SENT))
+    for level in range(3, len(mu) + 2):
+        answers = answers.union(add_up(docs.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_ask_longer(n, level, train), SENT)))
+    return docs.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_score(n, len(mu) + 1, train, mu), RESULT)
 
 
 def best_first(scores: DataFrame) -> DataFrame:

@@ -9,9 +9,9 @@ import pytest
 
 from arterial.llm.kernels import U64, span_hashes, utf8, word_bounds
 from arterial.llm.lm_scoring import lm_scores
-from arterial.llm.substring_dedup import remove_repeats, rounds_for, symbols
+from arterial.llm.substring_dedup import Symbols, remove_repeats, rounds_for
 
-from .cases import SCHEMA, awkward, frame, key
+from .cases import SCHEMA, awkward, frame, key, prose
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -64,19 +64,44 @@ def test_repeats_on_documents(spark):
 
 
 def test_margin_holds_for_random_surroundings():
+    """Symbols between a window's margins are the same whatever surrounds it, also if others have lost their names."""
     rng = np.random.default_rng(0)
     for window in (12, 50):
-        rounds, margin = rounds_for(window)
         for _ in range(60):
             alphabet = rng.integers(2, 30)
             inside = rng.integers(0, alphabet, window).astype(U64)
             seen = []
             for _ in range(2):
                 left, right = (rng.integers(0, alphabet, rng.integers(0, 40)).astype(U64) for _ in range(2))
-                names, sizes = symbols(np.concatenate([left, inside, right]), np.array([0, len(left) + window + len(right)]), rounds)
-                cover = np.repeat(names, sizes)
-                seen.append(cover[len(left) + margin : len(left) + window - margin].tolist())
-            assert seen[0] == seen[1]
+                x, covers = Symbols(np.concatenate([left, inside, right]), np.array([0, len(left) + window + len(right)])), []
+                for pairings, margin in rounds_for(window):
+                    x.pair(pairings)
+                    covers.append(np.repeat(x.names, x.sizes)[len(left) + margin : len(left) + window - margin].tolist())
+                    begin = x.starts()
+                    outside = (begin + x.sizes <= len(left) + margin) | (begin >= len(left) + window - margin)
+                    x.live &= ~outside | (rng.random(len(outside)) < 0.5)
+                seen.append(covers)
+            assert seen[0] == seen[1] and seen[0][-1]
+
+
+def test_rounds_send_less_and_less(spark):
+    """Without repeats no window is left to verify."""
+    import pyarrow as pa
+
+    from arterial.llm import substring_dedup as sd
+
+    texts = [prose(500 + i, 400, 60) for i in range(30)] + [prose(500, 400, 60)[-500:] + prose(900, 100, 60)]
+    docs, rounds = pa.table({"doc_id": range(len(texts)), "text": texts, "g": pa.array([0] * len(texts), pa.int32())}), rounds_for(50)
+    answers, left = pa.table({"round": pa.array([], pa.int32()), "shard": pa.array([], pa.int32()), "named": pa.array([], pa.binary())}), []
+    for k in range(len(rounds)):
+        asked = sd._send_symbols(k, rounds, 50, 4)(docs, answers)
+        left.append(len(sd._Round(docs, answers, k, rounds, 50, 4).start))
+        if asked.num_rows:
+            named = pa.concat_tables(sd._name(k)(asked.filter(pa.compute.equal(asked.column("shard"), s))) for s in set(asked.column("shard").to_pylist()))
+            answers = pa.concat_tables([answers, named.select(["round", "shard", "named"])])
+    x = sd._Round(docs, answers, len(rounds), rounds, 50, 4)
+    assert left[0] == 30 * 351 + len(texts[-1].split()) - 49 and left[-1] < 200 and 100 < len(x.start) < 120
+    assert {0, 30} >= set(x.words.ids[x.doc].tolist())
 
 
 def test_empty_tables(spark):
@@ -86,46 +111,88 @@ def test_empty_tables(spark):
 
 
 def brute_scores(rows, mu):
+    """The backoff model by its recursive formula, from dictionaries of all n-grams."""
     docs = []
     for r in rows:
         held = True if r[0] is None else zlib.crc32(str(r[0]).encode()) % 10 == 0
         low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r[1] or "")
         docs.append((r[0], held, WORD.findall(low) + ["</s> end"]))
-    uni, bi, start = Counter(), Counter(), 0
+    grams = Counter()
     for _, held, t in docs:
         if not held:
-            start += 1
-            uni.update(t)
-            bi.update(zip(["<s> start", *t], t))
+            padded = ["<s> start", *t]
+            grams["<s> start",] += 1
+            for i in range(1, len(padded)):
+                grams.update(tuple(padded[j : i + 1]) for j in range(max(0, i - len(mu)), i + 1))
+    uni = {g[0]: c for g, c in grams.items() if len(g) == 1 and g[0] != "<s> start"}
     n, v, once = sum(uni.values()), len(uni), sum(c == 1 for c in uni.values())
-    unseen = min(max(once, 1) / (n + 1), 0.5)
+    unseen = min(max(once, 1) / (n + 1), 0.5) if n else 1.0
+
+    def p(w, h):
+        if not h:
+            return (1 - unseen) * uni[w] / n if w in uni else unseen
+        below = p(w, h[1:])
+        return (grams[(*h, w)] + mu[len(h) - 1] * below) / (grams[h] + mu[len(h) - 1]) if grams[h] >= 2 else below
+
     out = []
     for i, held, t in docs:
-        base = sum(math.log10((uni[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t)
-        score = 0.0
-        for a, w in zip(["<s> start", *t], t):
-            state = start if a == "<s> start" else uni[a]
-            p = (1 - unseen) * uni[w] / n if uni[w] else unseen
-            score += math.log10((bi[a, w] + mu * p) / (state + mu))
-        out.append((i, held, len(t), sum(uni[w] > 0 for w in t), n, round(base, 6), round(score, 6)))
+        base = sum(math.log10((uni.get(w, 0) + 0.1) / (n + 0.1 * (v + 1))) for w in t)
+        padded = ["<s> start", *t]
+        score = sum(math.log10(p(padded[j], tuple(padded[max(0, j - len(mu)) : j]))) for j in range(1, len(padded)))
+        out.append((i, held, len(t), sum(w in uni for w in t), n, round(base, 6), round(score, 6)))
     return sorted(out, key=key)
 
 
-def test_scores_against_brute_force(spark):
-    rows = awkward()
-    got = [(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in lm_scores(frame(spark, rows), 3.0).collect()]
-    for a, b in zip(sorted(got, key=key), brute_scores(rows, 3.0), strict=True):
+@pytest.mark.parametrize("mu", [(3.0,), (3.0, 1.5), (4.0, 2.0, 1.0)])
+def test_scores_against_brute_force(spark, mu):
+    rows = awkward() + [(60 + i, prose(80 + i % 3, 700, 30), "en", "s", 1) for i in range(9)]
+    got = [(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in lm_scores(frame(spark, rows), mu).collect()]
+    for a, b in zip(sorted(got, key=key), brute_scores(rows, mu), strict=True):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], abs=1e-5)
 
 
+@pytest.mark.parametrize("rows", [[(3, "one", "en", "s", 1)], [(3, "a b a b", "en", "s", 1), (3, "a b a b", "en", "s", 1)], [(None, None, None, None, None)]])
+def test_few_rows_and_one_partition(spark, rows):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in (1, int(before)):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = [(r.doc_id, r.n_tokens, r.train_tokens, round(r.score, 6)) for r in lm_scores(frame(spark, rows), (3.0, 2.0)).collect()]
+        assert got == [(b[0], b[2], b[4], pytest.approx(b[6], abs=1e-5)) for b in brute_scores(rows, (3.0, 2.0))]
+        assert ours(remove_repeats(frame(spark, rows), 4)) == brute_repeats(rows, 4)
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_model_beats_base_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = lm_scores(docs).where("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
     assert r.s > r.b
 
 
-def test_probabilities_of_a_state_sum_to_one():
-    uni, bi, mu = Counter("aabbbc"), Counter({("a", "b"): 2, ("a", "a"): 1}), 2.0
-    n, unseen = 6, 1 / 7
-    p = {w: (1 - unseen) * c / n for w, c in uni.items()} | {"?": unseen}
-    assert sum((bi["a", w] + mu * p[w]) / (3 + mu) for w in p) == pytest.approx(1)
+def test_arcs_of_a_state_sum_to_one():
+    """Over all words, unseen ones together, the probabilities of the walk after a history add up to 1."""
+    import pyarrow as pa
+
+    from arterial.llm.lm_scoring import Automaton, _Ngrams
+
+    corpus = ["a b a c a b", "a b b c", "c a b a", "b a b"]
+    n = Counter(w for t in corpus for w in [*t.split(), "end"])
+    train = {"docs": len(corpus), "tokens": sum(n.values()), "types": len(n), "once": sum(c == 1 for c in n.values())}
+    for history in ("", "a", "a b", "b a", "c c"):
+        probes = [f"{history} {w}".strip() for w in "abc"] + [f"{history} unseen".strip(), history]
+        x = _Ngrams(pa.table({"text": corpus + probes, "held_out": [False] * len(corpus) + [True] * len(probes)}), 1)
+        for level in (1, 2, 3):
+            x.add_level(x.states_of(level, train) >= 2 if level == 3 else None)
+            x.counts.append(x.training_counts(level))
+        automaton = Automaton(x, train, (2.0, 1.0))
+        first, size = x.first[len(corpus) :], x.sizes[len(corpus) :]
+        whole, without = automaton.walk(first, size - 1), automaton.walk(first, np.maximum(size - 2, 0))
+        steps = [*(10 ** (whole[:4] - without[:4])), 10 ** (automaton.walk(first, size)[4] - whole[4])]
+        assert sum(steps) == pytest.approx(1), history
+
+
+def test_structured_texts_have_different_hashes():
+    a, b = b"a", b"b"
+    for _ in range(12):
+        a, b = a + b, b + a
+        h = span_hashes(np.frombuffer(a + b, np.uint8), np.array([0, len(a)]), np.array([len(a), 2 * len(a)]))
+        assert h[0] != h[1]
