@@ -23,20 +23,18 @@ An empty table gives an empty result.
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .exact_links import MOST_PAIRS, exact_links
 from .exchange import blob, pieces, small_batches
 from .kernels import U64, long_window_hashes, lower_ascii, mix, signed, slices, span_hashes, splitmix, utf8, word_bounds
-from .ngram_join import SKETCH, Overlap, _feasible, estimates
-from .sketches import bloom, key_counts, maybe_in
+from .sketches import bloom, maybe_in
 from .storage import saved
 
 SHINGLE, BANDS, ROWS = 10, 12, 4
 FULL_BUCKET = 16
-BLOCK = 512  # lines with a shingle that meet in one cell
-CELL_ROWS = 1 << 17  # of cells that one task holds, about
 LAST_ID = 2**63 - 1
 
 
@@ -211,11 +209,11 @@ def _fetch(wanted: bytes):
     return fetch
 
 
-MOST_PAIRS = 1 << 12  # compared at once: a pair's number and 52 bits of a shingle's hash share a word
-
-
 def similarities(left: list[bytes], right: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Sizes of intersection and union of the shingle sets of each pair of lines, MOST_PAIRS at most."""
+    """Sizes of intersection and union of the shingle sets of each pair of lines, 4,096 at most.
+
+    A pair's number and 52 bits of a shingle's hash share a word.
+    """
     sides = []
     for side in (left, right):
         e = np.cumsum([len(x) for x in side])
@@ -271,85 +269,6 @@ def _sets(column):
         yield i, row, h, np.bincount(row, minlength=j - i)
 
 
-def _rarest(percent: int, sketch: np.ndarray):
-    """A row for each shingle that a line can share first with a linked one: rare ones by the sketch come first."""
-    bound = Overlap(percent)
-
-    def rarest(batches):
-        for batch in batches:
-            for i, row, h, n in _sets(batch.column(2)):
-                order = np.lexsort((h, sketch[(h & U64(SKETCH - 1)).astype(np.int64)], row))
-                rank = np.arange(len(h)) - (np.cumsum(n) - n)[row]
-                inside = rank < bound.probe(n, 1)[row]
-                row, h, rank = row[inside], h[order][inside], rank[inside]
-                at = pa.array(row + i)
-                columns = [pa.array(signed(h)), batch.column(0).take(at), batch.column(1).take(at), pa.array(n[row]), pa.array(rank)]
-                yield pa.RecordBatch.from_arrays(columns, ["token", "line", "root", "size", "rank"])
-
-    return rarest
-
-
-def _cross_links(percent: int):
-    """Links between the lines of a cell that lie in different components; those that the links found before connect are left out."""
-    bound = Overlap(percent)
-
-    def cross(cells: pa.Table, texts: pa.Table) -> pa.Table:
-        token, line, root, size, rank, before, part, low, high = (cells.column(c).to_numpy() for c in ("token", "line", "root", "size", "rank", "before", "part", "low", "high"))
-        order = np.lexsort((line, size, high, low, token))
-        token, line, root, size, rank, before, part, low, high = (c[order] for c in (token, line, root, size, rank, before, part, low, high))
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-        start = np.flatnonzero(new)
-        end = np.append(start[1:], len(token))[np.cumsum(new) - 1]
-        text = dict(zip(texts.column("key").to_pylist(), texts.column("bytes").to_pylist(), strict=True))
-        nodes, node = np.unique(line, return_inverse=True)
-        roots, of_node = np.unique(root[np.unique(line, return_index=True)[1]], return_inverse=True)
-        up = np.arange(len(roots))
-        a, b, waiting, links = [], [], 0, []
-
-        def settle() -> None:
-            nonlocal up
-            pairs = np.unique(np.concatenate(a) * len(nodes) + np.concatenate(b)) if a else np.zeros(0, np.int64)
-            for at in range(0, len(pairs), MOST_PAIRS):
-                x, y = np.divmod(pairs[at : at + MOST_PAIRS], len(nodes))
-                apart = up[of_node[x]] != up[of_node[y]]
-                x, y = x[apart], y[apart]
-                linked = _similar([text[k] for k in nodes[x].tolist()], [text[k] for k in nodes[y].tolist()], percent)
-                for i, j in zip(x[linked].tolist(), y[linked].tolist(), strict=True):
-                    p, q = int(of_node[i]), int(of_node[j])
-                    while up[p] != p:
-                        p = int(up[p])
-                    while up[q] != q:
-                        q = int(up[q])
-                    if p != q:
-                        up[max(p, q)] = min(p, q)
-                        links.append((nodes[i], nodes[j]))
-                while (jumped := up[up]).tobytes() != up.tobytes():
-                    up = jumped
-
-        i, d = np.arange(len(token)), 0
-        while True:
-            d += 1
-            i = i[i + d < end[i]]
-            if not len(i):
-                break
-            j = i + d
-            ok = (up[of_node[node[i]]] != up[of_node[node[j]]]) & ((low[i] == high[i]) | (part[i] != part[j]))
-            x, y = i[ok], j[ok]
-            ok = _feasible(bound, size[x], rank[x], 1, before[x], size[y], rank[y], before[y])
-            x, y = node[x[ok]], node[y[ok]]
-            a.append(np.minimum(x, y))
-            b.append(np.maximum(x, y))
-            waiting += len(x)
-            if waiting > 1 << 20:
-                settle()
-                a, b, waiting = [], [], 0
-        settle()
-        return pa.table({"a": pa.array([int(x) for x, _ in links], pa.int64()), "b": pa.array([int(y) for _, y in links], pa.int64())})
-
-    return cross
-
-
 def _open_lines(large: DataFrame, roots: DataFrame) -> DataFrame:
     """(bucket, line, root) of the large buckets whose lines lie in several components."""
     rooted = large.join(roots.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
@@ -357,21 +276,6 @@ def _open_lines(large: DataFrame, roots: DataFrame) -> DataFrame:
     return rooted.join(still, "bucket")
 
 
-def exact_links(lines: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect all lines of different components with a similarity of percent. lines: line, root, bytes; a line once."""
-    counts = key_counts(lines.select("bytes"), lambda batch: (h for _, _, h, _ in _sets(batch.column(0))), SKETCH)
-    posted = saved(lines.mapInArrow(_rarest(percent, estimates(counts)), "token long, line long, root long, size long, rank long"))
-    shared = posted.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("x <> y").select("token", "blocks")
-    before = F.row_number().over(Window.partitionBy("line").orderBy("rank")).cast("long") - 1
-    cells = posted.join(shared, "token").withColumn("before", before).withColumn("part", F.expr("pmod(xxhash64(line), blocks)"))
-    cells = cells.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")}).drop("blocks", "other")
-    cells = saved(cells)
-    n = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), cells.count() // CELL_ROWS)
-    cells = cells.withColumn("shard", F.pmod(F.xxhash64("token", "low", "high"), F.lit(n)))
-    texts = cells.select("shard", "line").distinct().join(lines.select("line", "bytes"), "line").toDF("key", "of", "bytes")
-    return saved(cells.groupBy("shard").cogroup(texts.groupBy("of")).applyInArrow(_cross_links(percent), "a long, b long"))
-
-
 def line_components(docs: DataFrame, percent: int) -> DataFrame:
     """(node, root) of the lines that are linked to another; a node is a line's key. docs: text."""
     small_batches(docs.sparkSession)
@@ -392,7 +296,7 @@ def line_components(docs: DataFrame, percent: int) -> DataFrame:
     left = saved(_open_lines(large, roots).select("line", "root").distinct())
     if left.isEmpty():
         return roots
-    return components(links.union(exact_links(left.join(texts, "line"), percent)))
+    return components(links.union(exact_links(left.join(texts, "line").toDF("node", "root", "value"), percent, _sets, _similar)))
 
 
 def _occurrences(batches):

@@ -15,10 +15,11 @@ fixed size; it steers costs only, any order gives the same links.
 Equal sets are one class from the start, known by a 64-bit hash of the set. Rare
 shingles have short posting lists, whose pairs are listed at once. Long lists, as of
 large groups of near copies, are first linked as stars around their most central
-classes; then only pairs that are still in different components, agree in size and
-position and share enough prefix shingles are listed. So a group of copies costs a
-number of pairs in proportion to its size, and no link between components is lost.
-Verification is exact, on the whole sets of shingle hashes.
+classes. The classes of lists that lie in several components even then are compared
+exactly, in the tasks that list them, which return links only (``exact_links``): a
+linked pair that short lists haven't shown shares a shingle of a long one, so none is
+lost, and a group of near copies costs rows in proportion to its size. Verification is
+exact, on the whole sets of shingle hashes.
 
 Null and empty texts, and texts without words, have an empty set and link with
 nothing; texts of fewer words than a shingle have one shingle, all their words. Null
@@ -28,16 +29,16 @@ give equal rows. An empty table gives an empty result.
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .exact_links import SKETCH, Overlap, estimates, exact_links
 from .exchange import blob, pieces, small_batches
 from .kernels import U64, lower_ascii, mix, shingle_sets, signed, slices, span_hashes, utf8, word_bounds
 from .sketches import bloom, key_counts, maybe_in
 from .storage import saved
 
-SKETCH = 1 << 21
 SHORT_LIST = 16
 MAX_MATCH = 8
 VERIFY_COST = 20.0  # in postings scanned
@@ -45,27 +46,6 @@ CHANCE = 0.05  # candidates that any shingle may bring, however rare it looks in
 PAIR = "a long, b long, need int, n int"
 
 
-class Overlap:
-    """Integer bounds of the Jaccard threshold percent / 100."""
-
-    def __init__(self, percent: int):
-        self.p = percent
-
-    def pair(self, x, y):
-        """The least intersection of linked sets of these sizes."""
-        return -(-self.p * (x + y) // (100 + self.p))
-
-    def any(self, x):
-        """The least intersection of a set of this size with any set."""
-        return -(-self.p * x // 100)
-
-    def probe(self, x, match):
-        return x - self.any(x) + match
-
-    def index(self, x, match):
-        return x - self.pair(x, x) + match
-
-
 def _sets(column, k: int):
     """For each slice of a batch: its first row, document and hash of each distinct shingle, set sizes."""
     data, off = utf8(column)
@@ -95,13 +75,6 @@ def _describe(k: int):
     return describe
 
 
-def estimates(counts: np.ndarray) -> np.ndarray:
-    """The sketch as one byte a counter: 4 * log2 of the count above what chance collisions explain."""
-    mean = counts.sum() / len(counts)
-    excess = np.maximum(counts.astype(np.float64) - (mean + 5 * mean**0.5 + 4), 0)
-    return np.minimum(np.ceil(4 * np.log2(1 + excess)), 255).astype(np.uint8)
-
-
 def choose_match(q: np.ndarray, start: np.ndarray, sizes: np.ndarray, bound: Overlap, chance: float = 0.0) -> np.ndarray:
     """For each set the number of shared prefix shingles to ask for, by estimated cost."""
     scan = np.concatenate([[0.0], np.cumsum(np.exp2(q / 4.0) - 1 + chance)])
@@ -152,18 +125,6 @@ def _read(table: pa.Table) -> list[np.ndarray]:
     return [np.concatenate([np.frombuffer(x, kind) for x in table.column(f).to_pylist()] or [np.zeros(0, kind)]).astype(kind if kind is U64 else np.int64) for f, kind in zip(FIELDS, KINDS, strict=True)]
 
 
-def _feasible(bound: Overlap, x_size, x_rank, x_need, x_before, y_size, y_rank, y_before):
-    """Can a smaller set x and a larger y, both with a shingle at these ranks, be linked, and is x's in its index prefix?
-
-    before: how many earlier shingles of a set may be in the other at all. The order is
-    global, so common ones before this one stand in both prefixes, and only posted
-    shingles that another set posted too count.
-    """
-    least = bound.pair(x_size, y_size)
-    most = np.minimum(x_before, y_before) + np.minimum(x_size - x_rank, y_size - y_rank)
-    return (x_rank < bound.index(x_size, x_need)) & (100 * x_size >= bound.p * y_size) & (most >= least)
-
-
 def _shared(percent: int):
     """Of a shard's postings the lists of two classes or more, sorted by shingle and size, a class once."""
 
@@ -204,17 +165,13 @@ def _pairs(a, b, need) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "need": pa.array(need, pa.int32()), "n": pa.array(n, pa.int32())})
 
 
-def _within(bound: Overlap, token, cls, size, rank, need, before=None, root=None):
-    """Feasible pairs of members of the same list, in different components if roots are given."""
-    _, lengths = _bounds(token)
-    before = rank if before is None else before
+def _within(bound: Overlap, token, cls, size, rank, need):
+    """Feasible pairs of members of the same list, one of SHORT_LIST members at most."""
     out = [(np.zeros(0, np.int64),) * 3]
-    for d in range(1, int(lengths.max()) if len(lengths) else 0):
+    for d in range(1, SHORT_LIST):
         i = np.flatnonzero(token[d:] == token[:-d])
         j = i + d
-        ok = _feasible(bound, size[i], rank[i], need[i], before[i], size[j], rank[j], before[j])
-        if root is not None:
-            ok &= root[i] != root[j]
+        ok = bound.feasible(size[i], rank[i], need[i], rank[i], size[j], rank[j], rank[j])
         i, j = i[ok], j[ok]
         out.append((cls[i], cls[j], np.minimum(need[i], need[j])))
     return _pairs(*(np.concatenate(c) for c in zip(*out, strict=True)))
@@ -238,30 +195,20 @@ def _first_pairs(percent: int):
                         other = np.delete(np.arange(n), hub)
                         low, high = np.minimum(other, hub), np.maximum(other, hub)
                         c, z, p, m = cls[part], size[part], rank[part], need[part]
-                        ok = _feasible(bound, z[low], p[low], m[low], p[low], z[high], p[high], p[high])
+                        ok = bound.feasible(z[low], p[low], m[low], p[low], z[high], p[high], p[high])
                         yield _pairs(c[low[ok]], c[high[ok]], np.zeros(int(ok.sum()), np.int64))
 
     return pairs
 
 
-def _rows(batches):
-    """Every posting of the shared lists as a row, with the length of its list."""
+def _long(batches):
+    """The classes of long lists, with their list."""
     for batch in batches:
         for r in range(batch.num_rows):
-            token, cls, size, rank, need = _read(pa.Table.from_batches([batch.slice(r, 1)]))
+            token, cls, *_ = _read(pa.Table.from_batches([batch.slice(r, 1)]))
             _, length = _bounds(token)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(token)), *(pa.array(c, pa.int64()) for c in (cls, size, rank, need, np.repeat(length, length)))], [*FIELDS, "length"])
-
-
-def _cross_pairs(percent: int):
-    bound = Overlap(percent)
-
-    def cross(table: pa.Table) -> pa.Table:
-        token, cls, size, rank, need, before, root = (table.column(c).to_numpy() for c in (*FIELDS, "before", "root"))
-        order = np.lexsort((cls, size, token))
-        return pa.Table.from_batches([_within(bound, *(c[order] for c in (token, cls, size, rank, need, before, root)))])
-
-    return cross
+            long = np.repeat(length > SHORT_LIST, length)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(token[long])), pa.array(cls[long], pa.int64())], ["token", "cls"])
 
 
 def _fetch(k: int, wanted: bytes):
@@ -282,28 +229,45 @@ def _fetch(k: int, wanted: bytes):
     return fetch
 
 
+def _members(column: pa.Array):
+    """The elements of sets that are blobs of sorted hashes, as exact_links reads them."""
+    sets = [np.frombuffer(x, U64) for x in column.to_pylist()]
+    n = np.array([len(x) for x in sets], np.int64)
+    yield 0, np.repeat(np.arange(len(sets)), n), np.concatenate([*sets, np.zeros(0, U64)]), n
+
+
+def _similar(left: list[bytes], right: list[bytes], percent: int) -> np.ndarray:
+    """Is each pair of sets linked?"""
+    keep = np.zeros(len(left), bool)
+    for i, (x, y) in enumerate(zip(left, right, strict=True)):
+        a, b = np.frombuffer(x, U64), np.frombuffer(y, U64)
+        if len(a) > len(b):
+            a, b = b, a
+        place = np.minimum(np.searchsorted(b, a), len(b) - 1)
+        common = int((b[place] == a).sum())
+        keep[i] = 100 * common >= percent * (len(a) + len(b) - common)
+    return keep
+
+
 def _verify(percent: int):
     def verify(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                if len(a) > len(b):
-                    a, b = b, a
-                place = np.minimum(np.searchsorted(b, a), len(b) - 1)
-                common = int((b[place] == a).sum())
-                keep.append(100 * common >= percent * (len(a) + len(b) - common))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            keep = _similar(batch.column(2).to_pylist(), batch.column(3).to_pylist(), percent)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep))
 
     return verify
 
 
+def _sets_of(wanted: DataFrame, text: DataFrame, k: int) -> DataFrame:
+    """(cls, members) of the wanted classes, which one more scan of the texts brings. wanted: cls, distinct."""
+    sets = text.mapInArrow(_fetch(k, bloom(wanted, "cls")), "cls long, members binary")
+    return sets.join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
+
+
 def _links(pairs: DataFrame, text: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by the whole sets of their classes, which one more scan of the texts brings."""
+    """The pairs (a, b) that link, by the whole sets of their classes."""
     pairs = saved(pairs.select("a", "b"))
-    wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
-    sets = text.mapInArrow(_fetch(k, bloom(wanted, "cls")), "cls long, members binary")
-    sets = sets.join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
+    sets = _sets_of(saved(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()), text, k)
     both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     return saved(both.select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent), "a long, b long"))
 
@@ -318,21 +282,19 @@ def jaccard_classes(docs: DataFrame, k: int, percent: int, id_type: str = "long"
     lists = text.mapInArrow(_postings(k, percent, estimates(counts), shards), LIST).groupBy("shard").applyInArrow(_shared(percent), LIST)
     lists = saved(lists)
     pairs = saved(lists.mapInArrow(_first_pairs(percent), PAIR).groupBy("a", "b").agg(F.max("need").alias("need"), F.min("need").alias("star"), F.sum("n").alias("n")))
-    before = F.row_number().over(Window.partitionBy("cls").orderBy("rank")).cast("long") - 1
-    rows = lists.mapInArrow(_rows, "token long, cls long, size long, rank long, need long, length long").withColumn("before", before)
-    long = saved(rows.where(F.col("length") > SHORT_LIST).drop("length"))
-    # n counts stars as well, so what a pair shares is counted in full only together with the long lists below
-    ready = (F.col("star") == 0) | (F.col("n") >= F.col("need"))
-    first = _links(pairs.where(ready), text, k, percent)
-    if long.isEmpty():
-        return described, components(first)
+    long = saved(lists.mapInArrow(_long, "token long, cls long"))
+    # n counts stars as well; a pair that shares too little in short lists can only link by a long one
+    first = _links(pairs.where((F.col("star") == 0) | (F.col("n") >= F.col("need"))), text, k, percent)
     roots = components(first)
+    if long.isEmpty():
+        return described, roots
     rooted = long.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    open_lists = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    cross = rooted.join(open_lists, "token").select(*FIELDS, "before", "root").groupBy("token").applyInArrow(_cross_pairs(percent), PAIR)
-    cross = cross.union(pairs.where(~ready).select("a", "b", "need", "n")).groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("n").alias("n")).where("n >= need")
-    second = _links(cross.join(pairs.where(ready), ["a", "b"], "left_anti"), text, k, percent)
-    return described, components(first.union(second))
+    still = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+    left = saved(rooted.join(still, "token").select("cls", "root").distinct())
+    if left.isEmpty():
+        return described, roots
+    sets = left.join(_sets_of(left.select("cls"), text, k), "cls").toDF("node", "root", "value")
+    return described, components(first.union(exact_links(saved(sets), percent, _members, _similar)))
 
 
 def jaccard_components(df: DataFrame, k: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

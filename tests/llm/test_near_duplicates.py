@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from arterial.llm import line_dedup, ngram_join
+from arterial.llm import exact_links, ngram_join
 from arterial.llm.components import components
 from arterial.llm.line_dedup import dedup_lines, shingles, signatures, similarities
 from arterial.llm.ngram_join import jaccard_components, one_per_component
@@ -60,6 +60,16 @@ def test_components_against_brute_force(spark, percent):
     assert got == brute_components(rows, 4, percent)
 
 
+@pytest.mark.parametrize("block", [exact_links.BLOCK, 9])
+def test_one_large_group_of_near_copies(spark, monkeypatch, block):
+    """Copies of one text with own edits: most pairs share their rarest shingles, some link, many don't."""
+    monkeypatch.setattr(exact_links, "BLOCK", block)
+    rows = near_copies(300, 120, 9, 91, 1000) + near_copies(150, 120, 2, 92, 2000)
+    got = sorted((tuple(r)[:3] for r in jaccard_components(frame(spark, rows)).collect()), key=key)
+    want = brute_components(rows, 4, 85)
+    assert got == want and 2 < len({w[2] for w in want}) < 300
+
+
 def test_components_on_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
@@ -162,8 +172,8 @@ def test_pairs_in_a_family_of_similar_lines(spark, monkeypatch):
     rows = family_rows()
     want = brute_lines(rows, 80)
     assert 110 < sum(w[2] for w in want) < 130
-    for block in (line_dedup.BLOCK, 7):
-        monkeypatch.setattr(line_dedup, "BLOCK", block)
+    for block in (exact_links.BLOCK, 7):
+        monkeypatch.setattr(exact_links, "BLOCK", block)
         got = sorted(((r.doc_id, r.n_lines, r.n_removed, r.text or "") for r in dedup_lines(frame(spark, rows)).collect()), key=key)
         assert got == want
 
