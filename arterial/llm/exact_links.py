@@ -4,7 +4,9 @@ Two linked sets share one of their rarest elements, so sets of different compone
 at each such element, agree in size and place there, and are verified in the task that
 lists them, which only returns links. An element of many sets is dealt out in blocks, so
 no list has to fit one task, and a task joins components as it finds links: pairs that
-are connected already aren't compared again. Elements are ordered by a sketch of fixed
+are connected already aren't compared again. Elements whose lists begin with the same set
+go to the same task, so copies that share many elements are sent and compared once.
+Elements are ordered by a sketch of fixed
 size of how frequent they are; it steers costs only, any order gives the same links.
 """
 
@@ -153,13 +155,13 @@ def exact_links(nodes: DataFrame, percent: int, sets: Sets, similar: Similar) ->
     nodes = nodes.select("node", "root", "value")
     counts = key_counts(nodes.select("value"), lambda batch: (h for _, _, h, _ in sets(batch.column(0))), SKETCH)
     posted = saved(nodes.mapInArrow(_rarest(sets, percent, estimates(counts)), "token long, node long, root long, size long, rank long"))
-    shared = posted.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("x <> y").select("token", "blocks")
+    shared = posted.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.ceil(F.count("*") / BLOCK).alias("blocks"), F.min(F.xxhash64("node")).alias("family")).where("x <> y").select("token", "blocks", "family")
     before = F.row_number().over(Window.partitionBy("node").orderBy("rank")).cast("long") - 1
     cells = posted.join(shared, "token").withColumn("before", before).withColumn("part", F.expr("pmod(xxhash64(node), blocks)"))
     cells = cells.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")}).drop("blocks", "other")
     cells = saved(cells)
     rows, elements = cells.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     n = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // CELL_ROWS, 8 * elements // CELL_BYTES)
-    cells = cells.withColumn("shard", F.pmod(F.xxhash64("token", "low", "high"), F.lit(n)))
+    cells = cells.withColumn("shard", F.pmod(F.xxhash64("family", "low", "high"), F.lit(n)))
     values = cells.select("shard", "node").distinct().join(nodes.select("node", "value"), "node").toDF("key", "of", "value")
     return saved(cells.groupBy("shard").cogroup(values.groupBy("of")).applyInArrow(_cross_links(similar, percent), "a long, b long"))

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-SLICE_BYTES = 1 << 20  # of text handled at once: bounds the memory of a kernel
+SLICE_BYTES = 1 << 17  # of text handled at once: bounds the memory of a kernel
 
 
 def splitmix(n: int, seed: int) -> np.ndarray:
@@ -23,11 +23,15 @@ def splitmix(n: int, seed: int) -> np.ndarray:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: a permutation in which every input bit reaches every output bit."""
-    x = x ^ (x >> U64(32))
-    x = x * U64(0xD6E8FEB86659FD93)
-    x = x ^ (x >> U64(32))
-    x = x * U64(0xD6E8FEB86659FD93)
-    return x ^ (x >> U64(32))
+    y = x >> U64(32)
+    y ^= x
+    y *= U64(0xD6E8FEB86659FD93)
+    t = y >> U64(32)
+    y ^= t
+    y *= U64(0xD6E8FEB86659FD93)
+    t = y >> U64(32)
+    y ^= t
+    return y
 
 
 _cache: dict = {}
@@ -103,6 +107,13 @@ def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return s, e, np.searchsorted(s, off)
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number, zeros after the end; one more than there are bytes."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+
+
 def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     """64-bit hash of the bytes of each span [s, e).
 
@@ -110,9 +121,7 @@ def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     results are added up, so texts of a regular structure collide no more than others.
     """
     n = e - s
-    padded = np.zeros(len(data) + 8, np.uint8)
-    padded[: len(data)] = data
-    eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    eight = eights(data)
     masks = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
     total = mix((eight[s] & masks[np.minimum(n, 8)]) + U64(0x5EED))
     long = np.flatnonzero(n > 8)

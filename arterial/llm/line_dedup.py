@@ -29,12 +29,13 @@ from pyspark.sql import functions as F
 from .components import components
 from .exact_links import MOST_PAIRS, exact_links
 from .exchange import blob, pieces, small_batches
-from .kernels import U64, long_window_hashes, lower_ascii, mix, signed, slices, span_hashes, splitmix, utf8, word_bounds
+from .kernels import U64, eights, lower_ascii, mix, signed, slices, span_hashes, splitmix, utf8, word_bounds
 from .sketches import bloom, maybe_in
 from .storage import saved
 
 SHINGLE, BANDS, ROWS = 10, 12, 4
 FULL_BUCKET = 16
+SIGNED_AT_ONCE = 1 << 15  # shingles
 LAST_ID = 2**63 - 1
 
 
@@ -57,34 +58,56 @@ def line_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def shingles(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each line's shingles, with repetitions, and how many each line has (one at least)."""
-    points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).astype(U64)
-    place = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    first, last = place[s], place[e]
+    """Hashes of each line's shingles, with repetitions, and how many each line has (one at least).
+
+    A shingle of ASCII characters is hashed by its bytes, others by their code points.
+    """
+    eight = eights(data)
+    h = eight[SHINGLE - 8 :] >> U64(64 - 8 * (SHINGLE - 8))
+    h *= U64(0x9E3779B97F4A7C15)
+    h ^= eight[: len(h)]
+    first, last = s, e
+    if (data >= 0x80).any():
+        begins = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+        first, last = np.searchsorted(begins, s), np.searchsorted(begins, e)
+        h = mix(h[begins[:-SHINGLE]])
+        wide = np.flatnonzero(begins[SHINGLE:] - begins[:-SHINGLE] > SHINGLE)
+        points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).astype(U64)
+        total = np.zeros(len(wide), U64)
+        for j, factor in enumerate(splitmix(SHINGLE, 0x57) | U64(1)):
+            total += points[wide + j] * factor
+        h[wide] = mix(total)
+    else:
+        h = mix(h)
     n = np.maximum(last - first - SHINGLE + 1, 1)
-    h = long_window_hashes(points, SHINGLE)
     ends = np.cumsum(n)
-    at = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n - first, n)
-    out = np.zeros(len(at), U64)
-    short = last - first < SHINGLE
-    in_short = np.repeat(short, n)
-    out[~in_short] = h[at[~in_short]]
-    out[in_short] = span_hashes(data, s[short], e[short])
+    at = np.arange(int(ends[-1]) if len(ends) else 0)
+    at -= np.repeat(ends - n - first, n)
+    short = np.flatnonzero(last - first < SHINGLE)
+    at[(ends - n)[short]] = 0
+    out = h[at] if len(h) else np.zeros(len(at), U64)
+    out[(ends - n)[short]] = span_hashes(data, s[short], e[short])
     return out, n
 
 
 def signatures(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The band keys of each line, one row a line."""
-    start = np.cumsum(n) - n
-    short = (h >> U64(32)).astype(np.uint32)
     factors = splitmix(2 * BANDS * ROWS, 0x11)
-    keys = np.zeros((len(n), BANDS), U64)
-    for b in range(BANDS):
+    keys, ends = np.zeros((len(n), BANDS), U64), np.cumsum(n)
+    i = 0
+    while i < len(n):  # what fits the processor's cache at once
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] - n[i] + SIGNED_AT_ONCE, "right")))
+        start = ends[i:j] - n[i:j] - (ends[i] - n[i])
+        short = (h[ends[i] - n[i] : ends[j - 1]] >> U64(32)).astype(np.uint32)
+        turned, lows = np.empty_like(short), np.empty((BANDS * ROWS, j - i), np.uint32)
+        for k in range(BANDS * ROWS):
+            np.bitwise_xor(short, np.uint32(int(factors[2 * k]) >> 32), out=turned)
+            np.multiply(turned, np.uint32(int(factors[2 * k + 1]) >> 32 | 1), out=turned)
+            np.minimum.reduceat(turned, start, out=lows[k])
+        mixed = mix(lows.astype(U64) + np.arange(1, 2 * BANDS * ROWS, 2, dtype=U64)[:, None]).reshape(BANDS, ROWS, j - i)
         for r in range(ROWS):
-            i = 2 * (b * ROWS + r)
-            flip, odd = np.uint32(int(factors[i]) >> 32), np.uint32(int(factors[i + 1]) >> 32 | 1)
-            low = np.minimum.reduceat((short ^ flip) * odd, start)
-            keys[:, b] = keys[:, b] * U64(0x9E3779B97F4A7C15) + mix(low.astype(U64) + U64(i + 1))
+            keys[i:j] = keys[i:j] * U64(0x9E3779B97F4A7C15) + mixed[:, r].T
+        i = j
     return mix(keys + np.arange(BANDS, dtype=U64))
 
 
