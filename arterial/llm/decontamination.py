@@ -16,10 +16,19 @@ fewer words than an item is its own, only window for that item.
    At similarity 0.8 the expected distance is 10 bits.
 3. What is left is verified exactly.
 
-Items are a query set: they pass through the driver in blocks of bounded bytes and
-number, and all documents are scanned for each block; documents aren't shuffled.
+The blocks of bits find all fingerprints within the radius; a window of similarity 0.8
+whose fingerprint lies farther away than that is missed. ``tests`` measure the share.
+
+Items are a query set: one index holds up to 4,096 of them and 4 MB of text, which the
+driver passes to the tasks; documents are scanned once and aren't shuffled. A larger
+benchmark is dealt with in such blocks, one scan each, whose matches are saved before
+the driver reads the next block.
+
 Items and windows of fewer than 5 words have one shingle, all their words. Null or
-empty items and texts match nothing. Equal items match alike. Whole texts are scanned.
+empty items and texts match nothing; a null id is an id like any other. Equal items
+match alike, and so do repeated rows; of equally similar windows the first counts.
+Whole texts are scanned. Empty tables give empty results, and an empty benchmark leaves
+all documents. Other columns may have any name.
 """
 
 from collections import Counter
@@ -31,10 +40,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .exchange import small_batches
 from .kernels import U64, slices, span_hashes, utf8, window_hashes
+from .storage import saved
 
 K, THRESHOLD, RADIUS = 5, 0.8, 19
-BLOCK_ITEMS, BLOCK_BYTES = 512, 1 << 20
+BLOCK_ITEMS, BLOCK_BYTES = 4096, 1 << 22
 MATCH = "doc_id long, item_id long, similarity double, start_word long, n_words long"
 
 
@@ -82,7 +93,9 @@ class Items:
         data, off = utf8(pc.utf8_lower(pa.array([t for _, t in rows], pa.string())))
         words, sizes, first = _words(data, off)
         self.ids, self.length, self.shingles, prints = [], [], [], []
-        for (item, _), a, b in zip(rows, first[:-1], first[1:], strict=True):
+        # items of a length stand together, so that few chunks are looked up for a window
+        for at in np.argsort(np.diff(first), kind="stable").tolist():
+            item, a, b = rows[at][0], first[at], first[at + 1]
             if a == b:
                 continue
             h, w = _shingles(words[a:b], sizes[a:b], min(K, b - a))
@@ -230,17 +243,18 @@ def item_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "tex
 
 def contaminated(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row, as MATCH, for each document and item that it contains."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    small_batches(df.sparkSession)
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    out = df.sparkSession.createDataFrame([], MATCH)
+    out, before = df.sparkSession.createDataFrame([], MATCH), None
     for rows in item_blocks(benchmark):
-        out = out.union(docs.mapInArrow(_finder(rows), MATCH))
-    return out
+        out, before = out.union(saved(before)) if before else out, docs.mapInArrow(_finder(rows), MATCH)
+    return out.union(before) if before else out
 
 
 def decontaminated(df: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """df without the documents that contain an item; no shuffle."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    small_batches(df.sparkSession)
+    column, schema, first = df.columns.index(text), df.schema, True
     for rows in item_blocks(benchmark):
-        df = df.mapInArrow(_dropper(rows, df.columns.index(text)), df.schema)
+        df, first = (df if first else saved(df)).mapInArrow(_dropper(rows, column), schema), False
     return df

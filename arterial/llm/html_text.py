@@ -12,18 +12,24 @@ decided block is good.
 Null and empty html give an empty text. Character references are decoded; runs of
 white space become one space; blocks are joined in page order by one space. Comments,
 scripts and styles are skipped, also unclosed ones. Nothing is cut off, whatever
-the page's length. All other columns pass through.
+the page's length, and the time is in proportion to it: a tag's end is looked up, never
+searched for anew. All other columns pass through, whatever their names, but for text
+and n_chars, which are replaced. Repeated rows give equal rows, an empty table an empty one.
 """
 
 import html
 import re
-from collections.abc import Iterable
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .exchange import small_batches
+
 # Common function words of the languages of the corpus.
 STOP_WORDS = frozenset(
     """
@@ -42,7 +48,7 @@ STOP_WORDS = frozenset(
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 #: What stands in these is never text of the article.
 BOILERPLATE_TAGS = frozenset("nav footer aside form button dialog menu fieldset select datalist search".split())
-RAW_TAGS = "script|style|noscript|template|textarea|svg|math|iframe|object|audio|video|canvas|title|xmp"
+RAW_TAGS = frozenset("script style noscript template textarea svg math iframe object audio video canvas title xmp".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTENT_TAGS = frozenset(("article", "main"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -52,12 +58,10 @@ BOILERPLATE_NAMES = re.compile(
     r"|side-?bar|widgets?|menus?|nav|navbar|navigation|breadcrumbs?|pagination|pager|footer|masthead|topbar|toolbar|share|sharing|social|related|recommended|recommendations|trending|comments?|commentlist|disqus|respond|replies|reply|skip-?link|search|complementary|contentinfo)(?:$|[^a-z])"
 )
 READER_COMMENT = re.compile(r"(?:^|[^a-z])(?:comments?|reply|replies|related|promo|ads?|sponsored)(?:$|[^a-z])")
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    rf"|<(?P<raw>{RAW_TAGS})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
-    re.DOTALL | re.IGNORECASE,
-)
+OPENING = re.compile(r"<(?:(/?)([a-zA-Z][a-zA-Z0-9:-]*)|[!?/])")
+#: The rest of a tag whose quoted values hold no angle brackets; it never looks beyond the next one.
+PLAIN_END = re.compile(r"""[^<>"']*+(?:"[^"<>]*+"[^<>"']*+|'[^'<>]*+'[^<>"']*+)*+>""")
+RAW_END = {tag: re.compile(rf"</{tag}[\s/]*>", re.IGNORECASE) for tag in RAW_TAGS}
 NAMED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
 WORD = re.compile(r"\w+")
@@ -95,11 +99,70 @@ def _is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
     return any(names.search("".join(found).lower()) for found in NAMED.findall(attributes))
 
 
+class _Ends:
+    """Where the tags of a page end, by the rule that a quote after an equals sign hides what stands before the next such quote."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.at = page, page.rfind(">"), None
+
+    def _table(self) -> None:
+        """For each bracket and quote, read outside of a value: the bracket that ends the tag."""
+        self.at = [m.start() for m in re.finditer("[>\"']", self.page)]
+        self.closing, following = [-1] * (len(self.at) + 1), {"\"": -1, "'": -1}
+        for i in range(len(self.at) - 1, -1, -1):
+            c, before = self.page[self.at[i]], self.at[i] - 1
+            if c == ">":
+                self.closing[i] = self.at[i]
+                continue
+            while before >= 0 and self.page[before].isspace():
+                before -= 1
+            opens = before >= 0 and self.page[before] == "=" and following[c] >= 0
+            self.closing[i] = self.closing[following[c] + 1] if opens else self.closing[i + 1]
+            following[c] = i
+
+    def after(self, at: int) -> int:
+        """The place after the tag that has begun, or -1 if it doesn't end."""
+        if m := PLAIN_END.match(self.page, at):
+            return m.end()
+        if at > self.last:
+            return -1
+        if self.at is None:
+            self._table()
+        end = self.closing[bisect_left(self.at, at)]
+        return (end if end >= 0 else self.page.index(">", at)) + 1
+
+
+def _tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Start and end of all markup, its tag ("": none), whether that closes, and its attributes."""
+    ends, at = _Ends(page), page.find("<")
+    while at >= 0:
+        m = OPENING.match(page, at)
+        end, tag, attributes = -1, "", ""
+        if page.startswith("<!--", at) or page.startswith("<![CDATA[", at):
+            mark, close = ("<!--", "-->") if page[at + 2] == "-" else ("<![CDATA[", "]]>")
+            end = page.find(close, at + len(mark))
+            end = len(page) if end < 0 else end + len(close)
+        elif m and m[2]:
+            tag, end = m[2].lower(), ends.after(m.end())
+            attributes = page[m.end() : max(end - 1, m.end())]
+            if end >= 0 and not m[1] and tag in RAW_TAGS:
+                raw = RAW_END[tag].search(page, end)
+                tag, end = "", raw.end() if raw else len(page)
+        elif m and at < ends.last:
+            end = page.index(">", at) + 1
+        if end < 0:
+            at = page.find("<", at + 1)
+            continue
+        yield at, end, tag, bool(m[1]), attributes
+        at = page.find("<", end)
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks with text, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool]] = []  # open elements that matter, and whether they're boilerplate
-    articles = bad = links = 0
+    stack: list[tuple[str, bool, bool]] = []  # open elements that matter: name, are they boilerplate, do they hold the article
+    opened: Counter = Counter()
+    articles = bad = links = floor = 0  # below the floor of the stack nothing counts as boilerplate
     inside: list[int] = []
     heading = False
     block = Block()
@@ -119,42 +182,45 @@ def blocks_of(page: str) -> list[Block]:
                 block.linked += len(" ".join(text.split()))
 
     at = 0
-    for m in TOKEN.finditer(page):
-        add(page[at : m.start()])
-        at = m.end()
-        if m["raw"] or not m["tag"]:
+    for start, end, tag, closes, attributes in _tags(page):
+        add(page[at:start])
+        at = end
+        if not tag:
             continue
-        tag = m["tag"].lower()
         if tag == "br":
             block.parts.append(" ")
         elif tag == "a":
-            links = 0 if m["close"] else 1
-        elif m["close"]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            closes = depth is not None
-            if tag in BLOCK_TAGS or (closes and stack[depth][1]):
+            links = 0 if closes else 1
+        elif closes:
+            depth = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag) if opened[tag] else None
+            if tag in BLOCK_TAGS or (depth is not None and depth >= floor and stack[depth][1]):
                 links = 0
-                if closes:
-                    for name, was_bad in stack[depth:]:
-                        bad -= was_bad
-                        if name in CONTENT_TAGS and not was_bad:
-                            inside.pop()
-                    del stack[depth:]
                 heading = False
+            else:
+                tag = ""
+            while depth is not None and len(stack) > depth:
+                name, was_bad, holds = stack.pop()
+                opened[name] -= 1
+                if tag:
+                    bad -= was_bad and len(stack) >= floor
+                    if holds:
+                        inside.pop()
+            floor = min(floor, len(stack))
+            if tag:
                 finish()
-            elif closes:
-                del stack[depth:]
         elif tag not in VOID_TAGS:
-            boilerplate = _is_boilerplate(tag, m["attributes"], bool(inside))
-            if tag in CONTENT_TAGS and not boilerplate:
+            boilerplate = _is_boilerplate(tag, attributes, bool(inside))
+            content = tag in CONTENT_TAGS and not boilerplate
+            if content:
                 # content begins: menus that were left open before it end here
                 if not inside:
-                    stack, bad = [(name, False) for name, _ in stack], 0
+                    floor, bad = len(stack), 0
                 articles += 1
                 inside.append(articles if len(inside) == 0 else inside[-1])
             if tag in BLOCK_TAGS or boilerplate:
                 if tag != "p":
-                    stack.append((tag, boilerplate))
+                    stack.append((tag, boilerplate, content))
+                    opened[tag] += 1
                     bad += boilerplate
                 heading = tag in HEADINGS
                 if tag in BLOCK_TAGS:
@@ -230,7 +296,7 @@ def _extractor(column: int, limits: Limits):
 
 def extract_text(df: DataFrame, page: str = "html", limits: Limits = Limits()) -> DataFrame:
     """df plus text and n_chars (code points); columns of df with these names are replaced. One pass, no shuffle."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    small_batches(df.sparkSession)
     df = df.drop(*(c for c in ("text", "n_chars") if c != page))
     schema = T.StructType([*df.schema.fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     return df.mapInArrow(_extractor(df.columns.index(page), limits), schema)

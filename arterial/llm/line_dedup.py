@@ -18,17 +18,19 @@ no pair of a large bucket is lost. Verification is on whole lines; union-find is
 
 Null and empty texts have no lines. A null doc_id counts as greater than all others;
 rows that agree in id and text are one document. Lines, like texts, have any length.
-An empty table gives an empty result.
+An empty table gives an empty result. Other columns may have any name.
 """
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import components
 from .exact_links import MOST_PAIRS, exact_links
 from .exchange import blob, pieces, small_batches
+from .frames import fresh, whole_row
 from .kernels import U64, eights, lower_ascii, mix, signed, slices, span_hashes, splitmix, utf8, word_bounds
 from .sketches import bloom, maybe_in
 from .storage import saved
@@ -362,8 +364,7 @@ def dedup_lines(df: DataFrame, percent: int = 80, doc_id: str = "doc_id", text:
     lines = lines.join(roots.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
     kept = lines.groupBy("root").agg(F.min("first").alias("keep"), F.max("last").alias("last")).where("keep <> last")
     drop = lines.select("line", "root").join(kept.select("root", "keep"), "root").select("line", "keep")
-    gone = found.join(drop, "line").where(F.struct("id", "th", "number") != F.col("keep")).groupBy("id", "th").agg(F.collect_set("number").alias("_removed")).withColumnsRenamed({"id": "_id", "th": "_th"})
-    joined = df.withColumns({"_key": identity[0], "_hash": identity[1]}).join(gone, (F.col("_key") == F.col("_id")) & (F.col("_hash") == F.col("_th")), "left").select(*df.columns, "_removed")
-    names = df.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return joined.mapInArrow(_cut(names.index(text), len(names)), f"{fields}, n_lines long, n_removed long")
+    gone = found.join(drop, "line").where(F.struct("id", "th", "number") != F.col("keep")).groupBy("id", "th").agg(F.collect_set("number").alias("gone"))
+    joined = df.select(*identity, whole_row(df)).join(gone, ["id", "th"], "left")
+    schema = T.StructType([*df.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
+    return joined.select("row.*", F.col("gone").alias(fresh(df, "gone"))).mapInArrow(_cut(df.columns.index(text), len(df.columns)), schema)

@@ -7,8 +7,9 @@ task gives the same copies, and copies need no coordination. Large means are spl
 parts of at most 32, each with a hash of its own, so exp() can't underflow.
 
 A null source is the source ''; a null text has no characters and is drawn like any
-other. Rows that agree in id and text draw the same number. A source with no
-characters has the rate 0. An empty table stays empty.
+other, also if it is empty or very long. Rows that agree in id and text draw the same
+number and tie in order_key. A source with no characters has the rate 0. An empty table
+stays empty. Other columns may have any name.
 """
 
 from collections.abc import Mapping
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import pieces
+from .frames import whole_row
 
 PART = 32
 MAX_BROADCAST_SOURCES = 10_000
@@ -62,18 +64,19 @@ def mix_sources(df: DataFrame, weights: Mapping[str, float] = WEIGHTS, seed: int
     these names are replaced. Rates are broadcast up to 10,000 sources, else joined.
     """
     df = df.drop("copy", "order_key")
-    table = rates(df, weights, text, source, default).withColumn("_parts", F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("int"))
-    table = table.withColumn("_cdf", _distribution(F.col("rate") / F.col("_parts"))).select(F.col("src").alias("_src"), "_parts", "_cdf")
-    if df.select(F.coalesce(F.col(source), F.lit(""))).distinct().limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES:
+    of_source = F.coalesce(F.col(source), F.lit(""))
+    table = rates(df, weights, text, source, default).withColumn("parts", F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("int"))
+    table = table.withColumn("cdf", _distribution(F.col("rate") / F.col("parts"))).select("src", "parts", "cdf")
+    if df.select(of_source).distinct().limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES:
         table = F.broadcast(table)
     name = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(text), F.lit(""))))
-    rows = df.withColumn("_name", name).join(table, F.coalesce(F.col(source), F.lit("")) == F.col("_src"))
+    rows = df.select(whole_row(df), name.alias("name"), of_source.alias("own")).join(table, F.col("own") == F.col("src"))
     # the draw stands outside the lambda over the distribution, else each of its entries would hash anew
-    draw = lambda n, j: n + F.aggregate(F.col("_cdf"), F.struct(_uniform(F.col("_name"), j.cast("string")).alias("u"), F.lit(0).alias("n")), lambda a, c: F.struct(a["u"].alias("u"), (a["n"] + (c < a["u"]).cast("int")).alias("n")), lambda a: a["n"])
-    count = F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0), draw)
-    copies = rows.withColumn("_n", count).where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    copies = copies.withColumn("order_key", F.md5(F.concat_ws("|", F.lit("order"), "_name", F.col("copy").cast("string"))))
-    return copies.select(*df.columns, "copy", "order_key").repartition(pieces(df), "order_key").sortWithinPartitions("order_key")
+    draw = lambda n, j: n + F.aggregate(F.col("cdf"), F.struct(_uniform(F.col("name"), j.cast("string")).alias("u"), F.lit(0).alias("n")), lambda a, c: F.struct(a["u"].alias("u"), (a["n"] + (c < a["u"]).cast("int")).alias("n")), lambda a: a["n"])
+    counted = rows.select("row", "name", F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), draw).alias("n")).where("n > 0")
+    copies = counted.select("row", "name", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy"))
+    copies = copies.select("row.*", "copy", F.md5(F.concat_ws("|", F.lit("order"), "name", F.col("copy").cast("string"))).alias("order_key"))
+    return copies.repartition(pieces(df), "order_key").sortWithinPartitions("order_key")
 
 
 def oracle(weights: Mapping[str, float] = WEIGHTS, seed: int = 0, default: float = 1.0, relation: str = "documents") -> str:

@@ -24,7 +24,8 @@ exact, on the whole sets of shingle hashes.
 Null and empty texts, and texts without words, have an empty set and link with
 nothing; texts of fewer words than a shingle have one shingle, all their words. Null
 ids can link but are never a component's id, unless all its ids are null. Repeated rows
-give equal rows. An empty table gives an empty result.
+give equal rows; texts of any length are read whole. An empty table gives an empty
+result. Other columns may have any name.
 """
 
 import numpy as np
@@ -35,6 +36,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .exact_links import SKETCH, Overlap, estimates, exact_links
 from .exchange import blob, pieces, small_batches
+from .frames import whole_row
 from .kernels import U64, lower_ascii, mix, shingle_sets, signed, slices, span_hashes, utf8, word_bounds
 from .sketches import bloom, key_counts, maybe_in
 from .storage import saved
@@ -316,13 +318,12 @@ def one_per_component(df: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     Rows that agree in id and text are one document. Documents without words all stay.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    key = [F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)).alias("_id"), F.xxhash64(t).alias("_th")]
-    named = df.withColumns({"_id": key[0], "_th": key[1]})
-    docs = named.select(F.struct("_id", "_th").alias("doc_id"), t.alias("text"))
-    described, roots = jaccard_classes(docs, k, percent, "struct<_id:bigint,_th:bigint>")
+    key = [F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)).alias("id"), F.xxhash64(t).alias("th")]
+    described, roots = jaccard_classes(df.select(F.struct(*key).alias("doc_id"), t.alias("text")), k, percent, "struct<id:bigint,th:bigint>")
     described = saved(described)
     least = described.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("low")).join(roots.withColumnRenamed("node", "cls"), "cls", "left")
-    keepers = least.groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("low").alias("low")).select("low._id", "low._th")
-    empty = described.where("n_shingles = 0").select("doc_id._id", "doc_id._th").distinct()
-    kept = named.join(keepers, ["_id", "_th"]).dropDuplicates(["_id", "_th"])
-    return kept.unionByName(named.join(empty, ["_id", "_th"], "left_semi")).select(*df.columns)
+    keepers = least.groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("low").alias("low")).select("low.id", "low.th")
+    empty = described.where("n_shingles = 0").select("doc_id.id", "doc_id.th").distinct()
+    named = df.select(*key, whole_row(df))
+    kept = named.join(keepers, ["id", "th"]).dropDuplicates(["id", "th"])
+    return kept.unionByName(named.join(empty, ["id", "th"], "left_semi")).select("row.*")

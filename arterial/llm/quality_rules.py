@@ -3,12 +3,16 @@
 Everything here is DataFrame functions; no Python runs on the executors.
 
 Cross-document rule: lines are normalised (A-Z lower-cased, digits to 0, white space
-dropped) and hashed; for each host the distinct texts that hold a line are counted,
-exact copies of a text once. Lines above the host's limit are frequent: they are
-removed, and a document that loses too much, or keeps too little, is rejected.
+dropped) and hashed; for each host the distinct texts that hold a line are counted:
+exact copies of a document count once, else every line of a text with enough copies
+would be frequent, and near-duplicate removal, not this rule, decides on copies. Lines
+above the host's limit are frequent: they are removed, and a document that loses too
+much, or keeps too little, is rejected.
 
 Null text counts as empty, a null host as the host ''. Rows that repeat a doc_id are
-judged each by its own text. An empty table gives an empty result.
+judged each by its own text and host; fully repeated rows give repeated results, and
+rows whose counts tie with a limit are within it. Texts of any length are read whole.
+An empty table gives an empty result. Other columns may have any name.
 """
 
 from collections.abc import Callable
@@ -17,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .frames import quoted, whole_row
+
 WHITE = "\t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -26,9 +32,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 class Limits:
     min_words: int = 10
     max_repeat_percent: int = 20
-    #: A line is frequent in a host if more distinct texts hold it than both of these.
+    #: A line is frequent in a host if more than min_line_texts distinct texts hold it, and more than max_line_percent of the host's or than max_line_texts.
     min_line_texts: int = 10
     max_line_percent: int = 2
+    max_line_texts: int = 10_000
     #: A document is depleted if it loses a greater share of its words, or keeps fewer words than min_words.
     max_lost_percent: int = 50
 
@@ -105,30 +112,32 @@ def frequent_lines(df: DataFrame, limits: Limits = Limits(), doc_id: str = "doc_
     docs = _prepared(df, doc_id, text, host)
     counted = _lines(docs).where("doc = 0").groupBy("host", "line").agg(F.count_distinct("th").alias("texts")).where(F.col("texts") > limits.min_line_texts)
     hosts = docs.groupBy("host").agg(F.count_distinct("th").alias("host_texts"))
-    return counted.join(hosts, "host").where(F.col("texts") * 100 > F.col("host_texts") * limits.max_line_percent).select("host", "line", "texts")
+    return counted.join(hosts, "host").where((F.col("texts") * 100 > F.col("host_texts") * limits.max_line_percent) | (F.col("texts") > limits.max_line_texts)).select("host", "line", "texts")
 
 
 def quality_rules(df: DataFrame, limits: Limits = Limits(), doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """doc_id, th (the text's hash), the counts, base_failed, lost_words, frequent (hashes of its frequent lines) and kept: one row a document."""
+    """doc_id, the counts, base_failed, kept, lost_words, frequent (hashes of its frequent lines), host and th (the text's hash): one row a document."""
     docs = _prepared(df, doc_id, text, host)
     hot = frequent_lines(df, limits, doc_id, text, host).select("host", "line", F.lit(True).alias("hot"))
     is_hot = F.coalesce("hot", F.lit(False)) & (F.col("doc") == 0)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    per = _lines(docs).join(hot, ["host", "line"], "left").groupBy("doc_id", "th")
+    per = _lines(docs).join(hot, ["host", "line"], "left").groupBy("doc_id", "host", "th")
     per = per.agg(F.sum(F.when(is_hot, F.col("words")).otherwise(0)).alias("lost"), F.collect_set(F.when(is_hot, F.col("line"))).alias("frequent"), F.sum("doc").alias("copies"), *(F.max(f"m.{c}").alias(c) for c in names))
     per = per.withColumn("lost_words", F.expr("lost div copies")).withColumn("base_failed", (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.max_repeat_percent * F.col("n_words")))
     depleted = (100 * F.col("lost_words") > limits.max_lost_percent * F.col("n_words")) | (F.col("n_words") - F.col("lost_words") < limits.min_words)
     per = per.withColumn("kept", ~F.col("base_failed") & ~depleted)
-    return per.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc_id", "th", *names, "base_failed", "lost_words", "frequent", "kept")
+    return per.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc_id", *names, "base_failed", "kept", "lost_words", "frequent", "host", "th")
 
 
 def without_frequent_lines(df: DataFrame, limits: Limits = Limits(), doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """The kept documents, all their columns, the text without its frequent lines."""
-    verdicts = quality_rules(df, limits, doc_id, text, host).where("kept").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("frequent").alias("_frequent")).dropDuplicates(["_id", "_th"])
+    verdicts = quality_rules(df, limits, doc_id, text, host).where("kept").select("doc_id", "host", "th", "frequent").dropDuplicates(["doc_id", "host", "th"])
     t = F.coalesce(F.col(text), F.lit(""))
-    joined = df.join(verdicts, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(t) == F.col("_th")))
-    left = F.array_join(F.filter(F.split(t, "\n"), lambda x: (squeezed(x) == "") | ~F.array_contains("_frequent", line_hash(x))), "\n")
-    return joined.withColumn(text, F.when(F.size("_frequent") == 0, F.col(text)).otherwise(left)).select(*df.columns)
+    rows = df.select(F.col(doc_id).alias("id"), F.coalesce(F.col(host), F.lit("")).alias("own_host"), F.xxhash64(t).alias("own_th"), whole_row(df))
+    joined = rows.join(verdicts, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("own_host") == F.col("host")) & (F.col("own_th") == F.col("th")))
+    own = F.col("row")[text]
+    left = F.array_join(F.filter(F.split(own, "\n"), lambda x: (squeezed(x) == "") | ~F.array_contains("frequent", line_hash(x))), "\n")
+    return joined.select(F.col("row").withField(quoted(text), F.when(F.size("frequent") == 0, own).otherwise(left)).alias("row")).select("row.*")
 
 
 def oracle(limits: Limits = Limits()) -> str:
@@ -150,7 +159,7 @@ def oracle(limits: Limits = Limits()) -> str:
               FROM (SELECT rid, host, t, unnest(ls) x FROM w)),
     hosts AS (SELECT host, count(DISTINCT t) texts FROM d GROUP BY host),
     hot AS (SELECT host, line FROM lines JOIN hosts USING (host) GROUP BY host, line
-            HAVING count(DISTINCT t) > {limits.min_line_texts} AND count(DISTINCT t) * 100 > any_value(hosts.texts) * {limits.max_line_percent}),
+            HAVING count(DISTINCT t) > {limits.min_line_texts} AND (count(DISTINCT t) * 100 > any_value(hosts.texts) * {limits.max_line_percent} OR count(DISTINCT t) > {limits.max_line_texts})),
     lost AS (SELECT rid, sum(n) n FROM lines JOIN hot USING (host, line) GROUP BY rid),
     j AS (SELECT base.*, coalesce(lost.n, 0)::BIGINT lost_words,
                  n_words < {limits.min_words} OR 100 * n_repeat_words > {limits.max_repeat_percent} * n_words AS base_failed

@@ -31,7 +31,7 @@ def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(_table(spark, sf_dir, "documents")).drop("th", "frequent")
+    return quality_rules.quality_rules(_table(spark, sf_dir, "documents")).drop("frequent", "host", "th")
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

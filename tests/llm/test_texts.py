@@ -1,16 +1,21 @@
+import datetime
+import random
 import re
+import time
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from arterial.llm import decontamination as dc
 from arterial.llm import pii
 from arterial.llm.html_text import extract_text, main_text
 from arterial.llm.url_filter import url_filter
 
-from .cases import SCHEMA, awkward, frame, prose
+from .cases import SCHEMA, awkward, frame, key, prose
 
 KEY = b"k" * 32
+CIPHER, BACK = pii.Cipher(KEY), pii.Cipher(KEY, back=True)
 
 
 def sentence(seed, n=40):
@@ -50,7 +55,7 @@ def test_pages_frame(spark):
 
 def test_permutation_is_one():
     for size in (1, 2, 10, 1000, 73049 // 50):
-        assert sorted(pii.permute(i, size, KEY, "t") for i in range(size)) == list(range(size))
+        assert sorted(CIPHER.permute(i, size, "t") for i in range(size)) == list(range(size))
 
 
 @pytest.mark.parametrize(
@@ -58,19 +63,57 @@ def test_permutation_is_one():
 )
 def test_values_change_within_their_format(value):
     def swap(t):
-        return pii.PATTERN.sub(lambda m: pii.pseudonym(m.lastgroup, m[0], KEY) or m[0], t)
+        return pii.PATTERN.sub(lambda m: pii.pseudonym(m.lastgroup, m[0], CIPHER) or m[0], t)
 
     new = swap(f"x {value} y")[2:-2]
     assert new != value and swap(f"{value}.")[:-1] == new
-    if "@" not in value and value[0] != "A" and "." not in value[:4]:
+    if "." not in value[:4]:
         assert pii._shape(new) == pii._shape(value)
     assert pii.PATTERN.fullmatch(new).lastgroup == pii.PATTERN.fullmatch(value).lastgroup
-    assert pii.pseudonym(pii.PATTERN.fullmatch(new).lastgroup, new, KEY)  # still valid
+    assert pii.pseudonym(pii.PATTERN.fullmatch(new).lastgroup, new, CIPHER)  # still valid
 
 
 @pytest.mark.parametrize("value", ["4041894974608796", "300.1.1.1", "1999-02-30", "99.99.2001", "000-12-1234", "3. 4.", "1.2.3", "version 1.2.3.4.5", "a@b", "0000000000000000"])
 def test_invalid_values_stay(value):
-    assert pii.PATTERN.sub(lambda m: pii.pseudonym(m.lastgroup, m[0], KEY) or m[0], value) == value
+    assert pii.PATTERN.sub(lambda m: pii.pseudonym(m.lastgroup, m[0], CIPHER) or m[0], value) == value
+
+
+def values_of(kind):
+    r = random.Random(kind)
+    word = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
+    if kind == "email":
+        return [f"{word('abcdef012', 3)}@{word('ab1', 2)}.org" for _ in range(4000)] + [f"{a}@x.org" for a in ("abc", "ABC", "aBc", "a1c", "123")]
+    if kind == "secret":
+        return [word("0123456789abcdef", 40) for _ in range(500)] + [word("0123456789ABCDEF", 40) for _ in range(500)] + ["AKIA" + word("ABCDEFGHIJ", 16) for _ in range(500)] + [word("ab1", 8) for _ in range(3000)] + ["0" * 40]
+    if kind in ("iso", "dmy"):
+        days = [datetime.date.fromordinal(n) for n in range(datetime.date(1990, 1, 1).toordinal(), datetime.date(2012, 1, 1).toordinal())]
+        return [d.strftime(f) for d in days for f in (["%Y-%m-%d"] if kind == "iso" else ["%d.%m.%Y", "%m.%d.%Y", "%d/%m/%Y"])]
+    if kind == "card":
+        return [n + pii.luhn_digit(n) for n in (f"400000{i:06d}" for i in range(3000))]
+    if kind == "iban":
+        return [f"GB{c:02d}WEST{n:014d}" for n in range(60) for c in range(100)]
+    if kind == "ip":
+        return [f"10.0.{i // 250}.{i % 250}" for i in range(4000)]
+    return [f"078-05-{i:04d}" for i in range(4000)] if kind == "national" else [f"+1 (640) 555-{i:04d}" for i in range(4000)]
+
+
+@pytest.mark.parametrize("kind", ["email", "secret", "iso", "dmy", "card", "iban", "ip", "national", "phone"])
+def test_different_values_get_different_pseudonyms_that_turn_back(kind):
+    values = sorted(set(values_of(kind)))
+    new = [pii.pseudonym(kind, v, CIPHER) for v in values]
+    written = [n or v for n, v in zip(new, values, strict=True)]  # invalid ones stay, and nothing else may become like them
+    assert len(set(written)) == len(values) and sum(map(bool, new)) > 50
+    assert all(pii.pseudonym(kind, n, BACK) == v for n, v in zip(new, values, strict=True) if n)
+
+
+def test_round_trip_on_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", F.lit(1).alias("n_values"), F.lit("x").alias("row"))
+    hidden = pii.pseudonymise(docs, KEY)
+    shown = pii.restore(hidden.withColumnRenamed("n_values", "n"), KEY)
+    both = docs.select("doc_id", F.col("text").alias("was")).join(shown, "doc_id")
+    changed = hidden.join(docs.select("doc_id", F.col("text").alias("was")), "doc_id").where("text <> was").count()
+    assert changed > 20 and both.where("n <> n_values or not (text <=> was)").count() == 0
+    assert hidden.where("n_values > 0").count() == changed and pii.pseudonymise(docs, b"another key").join(hidden.select("doc_id", F.col("text").alias("t")), "doc_id").where("text = t and n_values > 0").count() == 0
 
 
 def test_pseudonyms_link_documents(spark):
@@ -85,8 +128,10 @@ def test_pseudonyms_link_documents(spark):
 
 
 def brute_matches(docs, items):
-    out = {}
+    """(doc, item, similarity) of each row, item and its best window, from all windows that share a shingle with the item."""
+    out = []
     split = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    texts = [(d, split(t)) for d, t in docs]
     for item, text in items:
         w = split(text)
         k = min(5, len(w))
@@ -94,26 +139,58 @@ def brute_matches(docs, items):
             continue
         weigh = lambda ws, k=k: Counter({g: n * sum(len(x.encode()) for x in g) for g, n in Counter(tuple(ws[i : i + k]) for i in range(len(ws) - k + 1)).items()})
         target = weigh(w)
-        for d, t in docs:
-            dw = split(t)
-            best = max((dc.similarity(weigh(dw[i : i + len(w)]), target) for i in range(len(dw) - len(w) + 1)), default=0)
+        for d, dw in texts:
+            size = min(len(w), len(dw))
+            near = {s for i in range(len(dw) - k + 1) if tuple(dw[i : i + k]) in target for s in range(max(0, i + k - size), min(i, len(dw) - size) + 1)}
+            best = max((dc.similarity(weigh(dw[i : i + size]), target) for i in near), default=0)
             if best >= 0.8:
-                out[d, item] = round(best, 9)
-    return out
+                out.append((d, item, round(best, 9)))
+    return sorted(out, key=key)
 
 
-def test_contamination_against_brute_force(spark):
-    rows = [r for r in awkward() if r[0] is not None and r[0] != 5]
+def found_matches(df):
+    return sorted(((r.doc_id, r.item_id, round(r.similarity, 9)) for r in df.collect()), key=key)
+
+
+def test_contamination_against_brute_force(spark, monkeypatch):
+    rows = awkward()
     passage = prose(900, 30).split()
     rows += [(200, "a b " + " ".join(passage) + " c d", "en", "s", 1), (201, " ".join(passage).upper().replace(" ", ", "), "en", "s", 1), (202, " ".join(passage[:29]) + " x", "en", "s", 1), (203, " ".join(passage[:20]), "en", "s", 1), (204, "y " * 50 + " ".join(passage[:2] + ["q"] + passage[3:]), "en", "s", 1)]
-    items = [(1, " ".join(passage)), (2, None), (3, ""), (4, "one"), (5, prose(4, 90)), (6, " ".join(passage))]
+    rows += [(None, " ".join(passage), "en", "s", 1), (205, " ".join(passage), "en", "s", 1), (205, " ".join(passage), "en", "s", 1)]
+    items = [(1, " ".join(passage)), (2, None), (3, ""), (4, "one"), (5, prose(4, 90)), (6, " ".join(passage)), (None, prose(4, 90))]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    docs = frame(spark, rows)
-    got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in dc.contaminated(docs, bench).collect()}
-    assert got == brute_matches([(r[0], r[1]) for r in rows], items)
-    assert {d for d, _ in got} >= {200, 201, 202, 204} and 203 not in {d for d, _ in got}
-    assert {r.doc_id for r in dc.decontaminated(docs, bench).collect()} == {r[0] for r in rows} - {d for d, _ in got}
-    assert dc.contaminated(docs, bench.limit(0)).count() == 0 and dc.decontaminated(docs, bench.limit(0)).count() == len(rows)
+    docs = frame(spark, rows).withColumnsRenamed({"lang": "item_id", "source": "similarity"})
+    want = brute_matches([(r[0], r[1]) for r in rows], items)
+    hit = {d for d, _, _ in want}
+    assert hit >= {None, 200, 201, 202, 204, 205} and 203 not in hit
+    for block in (dc.BLOCK_ITEMS, 2):
+        monkeypatch.setattr(dc, "BLOCK_ITEMS", block)
+        assert found_matches(dc.contaminated(docs, bench)) == want
+        left = dc.decontaminated(docs, bench)
+        assert left.columns == docs.columns
+        assert sorted((tuple(r) for r in left.collect()), key=key) == sorted((r for r in rows if not brute_matches([(r[0], r[1])], items)), key=key)
+    none = bench.limit(0)
+    assert dc.contaminated(docs, none).count() == 0 and dc.decontaminated(docs, none).count() == len(rows)
+    assert dc.contaminated(docs.limit(0), bench).count() == 0 and dc.decontaminated(docs.limit(0), bench).count() == 0
+
+
+def test_share_of_windows_near_the_threshold_that_are_found():
+    """Texts at a similarity of 0.80 to 0.83 to their item; the README states the share."""
+    r, near, found = random.Random(5), 0, 0
+    for i in range(600):
+        words = prose(4000 + i, 100, 4000).split()
+        other = list(words)
+        for _ in range(2):
+            other[r.randrange(100)] = f"edit{r.random()}"
+        k = lambda ws: Counter({g: n * sum(len(x) for x in g) for g, n in Counter(tuple(ws[j : j + 5]) for j in range(96)).items()})
+        other = [x.replace(".", "") for x in other]
+        if 0.8 <= dc.similarity(k(words), k(other)) < 0.83:
+            near += 1
+            items = dc.Items([(1, " ".join(words))])
+            import pyarrow as pa
+
+            found += bool(list(dc._scan(items, pa.array([" ".join(other)]))))
+    assert near > 100 and found / near > 0.99, (found, near)
 
 
 def test_documents_shorter_than_an_item(spark):
@@ -128,8 +205,22 @@ def test_documents_shorter_than_an_item(spark):
 
 def test_contamination_on_documents(spark):
     docs, bench = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
-    got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in dc.contaminated(docs, bench).collect()}
-    assert got == brute_matches([(r.doc_id, r.text) for r in docs.collect() if len(r.text or "") < 4000], [tuple(r) for r in bench.collect()]) | {k: v for k, v in got.items() if len(next(r.text for r in docs.where(f"doc_id = {k[0]}").collect())) >= 4000}
+    assert found_matches(dc.contaminated(docs, bench)) == brute_matches([(r.doc_id, r.text) for r in docs.collect()], [tuple(r) for r in bench.collect()])
+
+
+@pytest.mark.parametrize("part", ["<script ", '<a href="', "<div>", "<a href=\"x'", "</span><div>", "<nav><article>", "<!", "</", "<p class='\"", "<div></b>", "<article><p>x"])
+def test_broken_pages_take_time_in_proportion(part):
+    """A megabyte of broken markup takes seconds, not hours."""
+    began = time.process_time()
+    main_text((part * (1 << 20))[: 1 << 20])
+    assert time.process_time() - began < 20
+
+
+def test_pages_that_repeat_and_none(spark):
+    rows = [(1, "u", "<article><p>x y</article>", 5)] * 2 + [(None, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, row string, html string, n_chars long")
+    assert sorted((tuple(r) for r in extract_text(pages).collect()), key=key) == sorted([(1, "u", rows[0][2], "x y", 3)] * 2 + [(None, None, None, "", 0)], key=key)
+    assert extract_text(pages.limit(0)).count() == 0
 
 
 def test_urls(spark):
@@ -141,3 +232,6 @@ def test_urls(spark):
     df = spark.createDataFrame([(i, c[0], "h") for i, c in enumerate(cases)], "page_id long, url string, host string")
     got = [(r.url, r.host, r.path, r.rule, r.verdict) for r in url_filter(df).orderBy("page_id").collect()]
     assert got == cases
+    long = "http://a.b/" + "x/" * 500_000 + "casino"
+    odd = spark.createDataFrame([(1, long, 7, 8), (1, long, 7, 8), (None, None, None, None)], "page_id long, url string, verdict int, rule int")
+    assert sorted((r.page_id or 0, r.verdict) for r in url_filter(odd).collect()) == [(0, "allow"), (1, "block"), (1, "block")] and url_filter(odd.limit(0)).count() == 0
