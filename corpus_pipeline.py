@@ -44,7 +44,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _sized(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("n_chars", F.length("text").cast("bigint"))
+    """n_chars, where there is such a column, as the cut texts have it."""
+    return docs.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else docs
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
