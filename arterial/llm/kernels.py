@@ -92,12 +92,17 @@ def slices(off: np.ndarray, limit: int = SLICE_BYTES):
         i = min(j, n)
 
 
+def in_word(data: np.ndarray) -> np.ndarray:
+    """Is each byte part of a word?"""
+    return ~_table("space")[data]
+
+
 def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of each word, and for each text the index of its first word (one more at the end)."""
     if not len(data):
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(off), np.int64)
-    word = ~_table("space")[data]
+    word = in_word(data)
     edge = np.zeros(len(data) + 1, bool)
     edge[off] = True
     start, end = word.copy(), word.copy()

@@ -29,15 +29,16 @@ from pyspark.sql import types as T
 
 from .components import components
 from .exact_links import MOST_PAIRS, exact_links
-from .exchange import blob, pieces, small_batches
+from .exchange import blob, parts, pieces, small_batches
 from .frames import fresh, whole_row
-from .kernels import U64, eights, lower_ascii, mix, signed, slices, span_hashes, splitmix, utf8, word_bounds
+from .kernels import U64, eights, in_word, lower_ascii, mix, signed, slices, span_hashes, splitmix, utf8
 from .sketches import bloom, maybe_in
 from .storage import saved
 
 SHINGLE, BANDS, ROWS = 10, 12, 4
 FULL_BUCKET = 16
 SIGNED_AT_ONCE = 1 << 15  # shingles
+LINES_AT_ONCE = 1 << 16  # whose bands a task gathers before it sends them
 LAST_ID = 2**63 - 1
 
 
@@ -52,8 +53,8 @@ def line_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     ends = np.append(starts[1:], len(data))
     doc = np.searchsorted(off, starts, "right") - 1
     ends = ends - (data[ends - 1] == 10)
-    words, _, _ = word_bounds(data, off)
-    has = np.searchsorted(words, ends) > np.searchsorted(words, starts)
+    solid = np.concatenate([[0], np.cumsum(in_word(data), dtype=np.int32)])
+    has = solid[ends] > solid[starts]
     # empty texts share their start with the next one; a text's first line is the one at its offset
     number = np.searchsorted(breaks, starts) - np.searchsorted(breaks, off[doc])
     return starts[has], ends[has], doc[has], number[has]
@@ -123,21 +124,33 @@ def _lines(column):
 
 
 def _band_keys(shards: int):
+    """The bands of the lines of a task, a bounded number at a time; a line that comes again isn't signed again."""
+
+    def message(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        bands = np.concatenate([b for _, b in held]).ravel()
+        line = np.repeat(np.concatenate([k for k, _ in held]), BANDS)
+        shard = (bands >> U64(32)).astype(np.int64) * shards >> 32
+        order = np.argsort(shard, kind="stable")
+        bands, line, ranges = bands[order].astype(np.uint32), line[order], parts(shard[order])
+        arrays = [pa.array([blob(c[p]) for _, p in ranges], pa.binary()) for c in (bands, line)]
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in ranges], pa.int32()), *arrays], ["shard", "band", "line"])
+
     def send(batches):
+        held, seen = [], set()
         for batch in batches:
             for _, part, s, e, _, _, key in _lines(batch.column(0)):
-                if not len(s):
-                    continue
                 key, once = np.unique(key, return_index=True)
-                bands = signatures(*shingles(part, s[once], e[once])).ravel()
-                line = np.repeat(key, BANDS)
-                shard = (bands >> U64(32)).astype(np.int64) * shards >> 32
-                order = np.argsort(shard, kind="stable")
-                bands, line, shard = bands[order].astype(np.uint32), line[order], shard[order]
-                cuts = np.searchsorted(shard, np.arange(shards + 1))
-                full = [x for x in range(shards) if cuts[x] < cuts[x + 1]]
-                arrays = [pa.array([blob(c[cuts[x] : cuts[x + 1]]) for x in full], pa.binary()) for c in (bands, line)]
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *arrays], ["shard", "band", "line"])
+                new = np.array([k not in seen for k in key.tolist()], bool)
+                if not new.any():
+                    continue
+                key, once = key[new], once[new]
+                seen.update(key.tolist())
+                held.append((key, signatures(*shingles(part, s[once], e[once]))))
+                if len(seen) > LINES_AT_ONCE:
+                    yield message(held)
+                    held, seen = [], set()
+        if held:
+            yield message(held)
 
     return send
 

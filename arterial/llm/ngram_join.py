@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .exact_links import SKETCH, Overlap, estimates, exact_links
-from .exchange import blob, pieces, small_batches
+from .exchange import blob, parts, pieces, small_batches
 from .frames import whole_row
 from .kernels import U64, lower_ascii, mix, shingle_sets, signed, slices, span_hashes, utf8, word_bounds
 from .sketches import bloom, key_counts, maybe_in
@@ -43,6 +43,7 @@ from .storage import saved
 
 SHORT_LIST = 16
 MAX_MATCH = 8
+POSTINGS_AT_ONCE = 1 << 20  # that a task gathers before it sends them
 VERIFY_COST = 20.0  # in postings scanned
 CHANCE = 0.05  # candidates that any shingle may bring, however rare it looks in the sketch
 PAIR = "a long, b long, need int, n int"
@@ -92,7 +93,16 @@ def choose_match(q: np.ndarray, start: np.ndarray, sizes: np.ndarray, bound: Ove
 def _postings(k: int, percent: int, sketch: np.ndarray, shards: int):
     bound = Overlap(percent)
 
+    def message(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        shard = (columns[0] >> U64(32)).astype(np.int64) * shards >> 32
+        order = np.argsort(shard, kind="stable")
+        ranges = parts(shard[order])
+        arrays = [pa.array([blob(c[p]) for _, p in ranges], pa.binary()) for c in (c[order] for c in columns)]
+        return pa.RecordBatch.from_arrays([pa.array([s for s, _ in ranges], pa.int32()), *arrays], ["shard", *FIELDS])
+
     def post(batches):
+        held, size = [], 0
         for batch in batches:
             for _, doc, h, sizes in _sets(batch.column(0), k):
                 if not len(h):
@@ -106,14 +116,13 @@ def _postings(k: int, percent: int, sketch: np.ndarray, shards: int):
                 rank = np.arange(len(h)) - start[doc]
                 inside = rank < np.minimum(bound.probe(sizes, match), sizes)[doc]
                 doc, h, rank = doc[inside], h[inside], rank[inside]
-                shard = (h >> U64(32)).astype(np.int64) * shards >> 32
-                order = np.argsort(shard, kind="stable")
-                doc, h, rank, shard = doc[order], h[order], rank[order], shard[order]
-                cuts = np.searchsorted(shard, np.arange(shards + 1))
-                columns = (h, classes[doc], sizes[doc].astype(np.uint32), rank.astype(np.uint32), match[doc].astype(np.uint8))
-                full = [s for s in range(shards) if cuts[s] < cuts[s + 1]]
-                arrays = [pa.array([blob(c[cuts[s] : cuts[s + 1]]) for s in full], pa.binary()) for c in columns]
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *arrays], ["shard", *FIELDS])
+                held.append((h, classes[doc], sizes[doc].astype(np.uint32), rank.astype(np.uint32), match[doc].astype(np.uint8)))
+                size += len(h)
+                if size > POSTINGS_AT_ONCE:
+                    yield message(held)
+                    held, size = [], 0
+        if held:
+            yield message(held)
 
     return post
 
