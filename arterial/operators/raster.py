@@ -84,6 +84,104 @@ def losses(probabilities: DataFrame, gamma: float = 2.0, alpha: float = 0.25) ->
     return probabilities.agg((1 - (2 * F.sum(q * y) + 1) / (F.sum(q) + F.sum(y) + 1)).alias("dice"), F.avg(-F.log(right)).alias("bce"), F.avg(-weight * F.pow(1 - right, F.lit(gamma)) * F.log(right)).alias("focal"))
 
 
+def _across(raster: DataFrame, axis: str) -> Window:
+    """Pixels of a line of a tile, in order."""
+    other = "col" if axis == "row" else "row"
+    return Window.partitionBy("tile_id", axis).orderBy(other)
+
+
+def soft_edges(raster: DataFrame, value: str) -> DataFrame:
+    """raster plus edge: the size of its Sobel gradient; outside of the tile is 0. Two passes of three pixels, as the filter is a product."""
+    at = lambda c, n, w: F.lag(c, n, 0.0).over(w)
+    w = _across(raster, "row")
+    out = raster.withColumns({"_d": at(value, -1, w) - at(value, 1, w), "_s": at(value, 1, w) + 2 * F.col(value) + at(value, -1, w)})
+    w = _across(raster, "col")
+    out = out.withColumns({"_x": at("_d", 1, w) + 2 * F.col("_d") + at("_d", -1, w), "_y": at("_s", -1, w) - at("_s", 1, w)})
+    return out.withColumn("edge", F.sqrt(F.col("_x") * F.col("_x") + F.col("_y") * F.col("_y") + 1e-8)).drop("_d", "_s", "_x", "_y")
+
+
+def boundary_loss(pixels: DataFrame, zone_px: int = 3) -> DataFrame:
+    """Mean squared difference of the Sobel edges of p and y within zone_px of a road, over all tiles. pixels: whole tiles (tile_id, row, col, p, y)."""
+    both = soft_edges(soft_edges(pixels, "p").withColumnRenamed("edge", "_p"), "y")
+    for axis in ("row", "col"):
+        both = both.withColumn("_zone", F.max("y" if axis == "row" else "_zone").over(_across(both, axis).rowsBetween(-zone_px, zone_px)))
+    inside = F.when(F.col("_zone") > 0, 1.0).otherwise(0.0)
+    return both.agg((F.sum(inside * F.pow(F.col("_p") - F.col("edge"), 2)) / (F.sum(inside) + 1e-8)).alias("boundary"))
+
+
+def _pooled(image: np.ndarray, pick) -> np.ndarray:
+    """The least or greatest of the three by three pixels around each, as far as there are any."""
+    for axis in (0, 1):
+        moved = np.moveaxis(image, axis, 0)
+        out = moved.copy()
+        out[1:] = pick(out[1:], moved[:-1])
+        out[:-1] = pick(out[:-1], moved[1:])
+        image = np.moveaxis(out, 0, axis)
+    return image
+
+
+def soft_skeleton(image: np.ndarray, rounds: int = 10) -> np.ndarray:
+    """What opening takes away, added up while the image is eroded round by round; 1 at most."""
+    out = np.zeros_like(image)
+    for _ in range(rounds):
+        thinner = _pooled(image, np.minimum)
+        out += np.maximum(image - _pooled(thinner, np.maximum), 0)
+        image = thinner
+    return np.minimum(out, 1.0)
+
+
+def connectivity_loss(pixels: DataFrame, rounds: int = 10) -> DataFrame:
+    """One less the Dice coefficient of the soft skeletons of p and y, mean over tiles. pixels: whole tiles (tile_id, row, col, p, y); a tile is one task."""
+
+    def kernel(tile: pd.DataFrame) -> pd.DataFrame:
+        images = []
+        for c in ("p", "y"):
+            image = np.zeros((tile["row"].max() + 1, tile["col"].max() + 1))
+            image[tile["row"], tile["col"]] = tile[c]
+            images.append(soft_skeleton(image, rounds))
+        p, y = images
+        return pd.DataFrame({"dice": [(2 * (p * y).sum() + 1) / (p.sum() + y.sum() + 1)]})
+
+    return pixels.select("tile_id", "row", "col", F.col("p").cast("double"), F.col("y").cast("double")).groupBy("tile_id").applyInPandas(kernel, "dice double").agg((1 - F.avg("dice")).alias("connectivity"))
+
+
+# The weights of the losses in their sum.
+LOSS_WEIGHTS = {"dice": 0.4, "focal": 0.3, "boundary": 0.2, "connectivity": 0.1}
+
+
+def combined_loss(pixels: DataFrame) -> DataFrame:
+    """One row of all losses and their weighted sum, total."""
+    parts = losses(pixels).crossJoin(boundary_loss(pixels)).crossJoin(connectivity_loss(pixels))
+    return parts.withColumn("total", sum((F.col(c) * w for c, w in LOSS_WEIGHTS.items()), F.lit(0.0)))
+
+
+def evaluated(predicted: DataFrame, truth: DataFrame | None, least_area: int = 10) -> DataFrame:
+    """The report of predicted masks, a row a tile: confusion metrics, road densities and component counts; metrics are null without truth.
+
+    Masks come checked (contract.mask_violations); truth of another size is brought to that of the prediction by its nearest pixels.
+    """
+    own = component_stats(predicted, least=least_area).join(predicted.groupBy("tile_id").agg(F.avg("v").alias("density")), "tile_id")
+    if truth is None:
+        return own
+    size = lambda m, p: m.groupBy("tile_id").agg((F.max("row") + 1).alias(f"{p}h"), (F.max("col") + 1).alias(f"{p}w"))
+    sizes = size(predicted, "p").join(size(truth, "t"), "tile_id")
+    places = predicted.select("tile_id", "row", "col").join(sizes, "tile_id")
+    nearest = places.select("tile_id", "row", "col", F.expr("int(row * th div ph)").alias("r"), F.expr("int(col * tw div pw)").alias("c"))
+    fitted = nearest.join(truth.select("tile_id", F.col("row").alias("r"), F.col("col").alias("c"), "v"), ["tile_id", "r", "c"]).select("tile_id", "row", "col", "v")
+    pairs = saved(paired(predicted, fitted))
+    return own.join(confusion(pairs), "tile_id", "left").join(pairs.groupBy("tile_id").agg(F.avg("g").alias("truth_density")), "tile_id", "left")
+
+
+# First and last row, first and last column.
+MISSED_STRIP, ADDED_ALLEY = (200, 299, 200, 209), (100, 107, 100, 199)
+
+
+def with_known_faults(truth: DataFrame, missed: tuple[int, int, int, int] = MISSED_STRIP, added: tuple[int, int, int, int] = ADDED_ALLEY) -> DataFrame:
+    """Truth as a prediction that misses a strip and adds an alley, for a check of the metrics."""
+    inside = lambda b: F.col("row").between(b[0], b[1]) & F.col("col").between(b[2], b[3])
+    return truth.withColumn("v", F.when(inside(added), 1).when(inside(missed), 0).otherwise(F.col("v")))
+
+
 # --- neighbourhoods --------------------------------------------------------------------------------------------------
 
 

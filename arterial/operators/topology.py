@@ -223,6 +223,15 @@ def intersections(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return degrees(nodes, edges).where("degree >= 3")
 
 
+def street_statistics(nodes: DataFrame, edges: DataFrame, area_km2: float = 7.04) -> DataFrame:
+    """One row: intersections (a node where several roads meet), their number a square kilometre, total length, and circuity, length over straight distance."""
+    met = degrees(nodes, edges).agg(F.sum((F.col("degree") > 1).cast("long")).alias("n_intersections"))
+    end = lambda i, c: F.element_at("geometry", i)[c]
+    straight = haversine(end(1, "lat"), end(1, "lon"), end(-1, "lat"), end(-1, "lon"))
+    total = edges.agg(F.sum("weight_m").alias("length_m"), F.try_divide(F.sum("weight_m"), F.sum(straight)).alias("circuity"))
+    return met.crossJoin(total).select("n_intersections", (F.col("n_intersections") / area_km2).alias("per_km2"), "length_m", "circuity")
+
+
 def edge_features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges plus max_degree, mean_degree, straightness and n_points."""
     d = saved(degrees(nodes, edges))

@@ -12,7 +12,7 @@ from ..functions import geo
 from ..operators import contract, matching, network, raster, topology
 from ..operators import components as cc
 from ..schema import TEST_BOX
-from ..sources import graphs, rasters
+from ..sources import graphs, rasters, settings
 from . import views
 from .views import haversine_sql, sql
 
@@ -652,6 +652,105 @@ def r44_losses(spark, sf_dir):
     return rounded(raster.losses(views.probabilities(spark, sf_dir)))
 
 
+def _pixels(spark, sf_dir):
+    truth, _ = views.masks(spark, sf_dir)
+    return truth.select("tile_id", "row", "col", F.col("v").alias("y")).join(views.optical(spark, sf_dir, 1).select("tile_id", "row", "col", (F.col("value") - 0.3).alias("p")), ["tile_id", "row", "col"])
+
+
+def _line(axis: str, frame: str = "") -> str:
+    other = "col" if axis == "row" else "row"
+    return f'OVER (PARTITION BY tile_id, "{axis}" ORDER BY "{other}" {frame})'
+
+
+def sobel_sql(source: str, value: str, name: str) -> str:
+    """Tables of the two passes of the Sobel filter."""
+    w, lag = _line("row"), lambda c, n, o: f"coalesce(lag({c}, {n}) {o}, 0)"
+    one = f', {name}1 AS MATERIALIZED (SELECT tile_id, "row", col, {lag(value, -1, w)} - {lag(value, 1, w)} AS d, {lag(value, 1, w)} + 2 * {value} + {lag(value, -1, w)} AS s FROM {source})'
+    w = _line("col")
+    return one + f', {name} AS MATERIALIZED (SELECT tile_id, "row", col, sqrt(pow({lag("d", 1, w)} + 2 * d + {lag("d", -1, w)}, 2) + pow({lag("s", -1, w)} - {lag("s", 1, w)}, 2) + 1e-8::DOUBLE) AS edge FROM {name}1)'
+
+
+def pooled_sql(source: str, value: str, pick: str, name: str) -> str:
+    near = "ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING"
+    return f', {name}a AS MATERIALIZED (SELECT tile_id, "row", col, {pick}({value}) {_line("row", near)} v FROM {source}), {name} AS MATERIALIZED (SELECT tile_id, "row", col, {pick}(v) {_line("col", near)} v FROM {name}a)'
+
+
+def skeleton_sql(value: str, rounds: int = 10) -> str:
+    """The soft skeleton of a column of px, as sk_<value>."""
+    out, before, gone = f', {value}0 AS MATERIALIZED (SELECT tile_id, "row", col, {value}::DOUBLE v FROM px)', f"{value}0", []
+    for r in range(1, rounds + 1):
+        thin, open_ = f"{value}{r}", f"{value}o{r}"
+        out += pooled_sql(before, "v", "min", thin) + pooled_sql(thin, "v", "max", open_)
+        gone.append(f'SELECT tile_id, "row", col, greatest(b.v - o.v, 0) g FROM {before} b JOIN {open_} o USING (tile_id, "row", col)')
+        before = thin
+    return out + f', sk_{value} AS MATERIALIZED (SELECT tile_id, "row", col, least(sum(g), 1) v FROM ({" UNION ALL ".join(gone)}) GROUP BY 1, 2, 3)'
+
+
+COMBINED = (
+    ', px AS MATERIALIZED (SELECT tile_id, "row", col, v y, value - 0.3::DOUBLE p FROM truth JOIN opt USING (tile_id, "row", col) WHERE band = 0)'
+    + sobel_sql("px", "p", "sp") + sobel_sql("px", "y", "sy")
+    + f', za AS MATERIALIZED (SELECT tile_id, "row", col, max(y) {_line("row", "ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING")} z FROM px), zone AS MATERIALIZED (SELECT tile_id, "row", col, (max(z) {_line("col", "ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING")} > 0)::INT z FROM za)'
+    + ', bl AS (SELECT sum(z * pow(sp.edge - sy.edge, 2)) / (sum(z) + 1e-8::DOUBLE) boundary FROM sp JOIN sy USING (tile_id, "row", col) JOIN zone USING (tile_id, "row", col))'
+    + skeleton_sql("p") + skeleton_sql("y")
+    + ', cl AS (SELECT 1 - avg(d) connectivity FROM (SELECT (2 * sum(a.v * b.v) + 1) / (sum(a.v) + sum(b.v) + 1) d FROM sk_p a JOIN sk_y b USING (tile_id, "row", col) GROUP BY tile_id))'
+    + ", q AS (SELECT greatest(least(p, 1 - 1e-7::DOUBLE), 1e-7::DOUBLE) q, y FROM px), r AS (SELECT *, y * q + (1 - y) * (1 - q) r, y * 0.25::DOUBLE + (1 - y) * 0.75::DOUBLE w FROM q)"
+    + ", pl AS (SELECT 1 - (2 * sum(q * y) + 1) / (sum(q) + sum(y) + 1) dice, avg(-ln(r)) bce, avg(-w * pow(1 - r, 2) * ln(r)) focal FROM r)"
+    + " SELECT round(dice, 6) dice, round(bce, 6) bce, round(focal, 6) focal, round(boundary, 6) boundary, round(connectivity, 6) connectivity, round(0.4::DOUBLE * dice + 0.3::DOUBLE * focal + 0.2::DOUBLE * boundary + 0.1::DOUBLE * connectivity, 6) total FROM pl, bl, cl"
+)
+
+
+@query(sql("truth opt", COMBINED))
+def r44_combined_loss(spark, sf_dir):
+    return rounded(raster.combined_loss(_pixels(spark, sf_dir)))
+
+
+LABELLED = ", p AS (SELECT tile_id, \"row\" AS r, col c FROM pred WHERE v = 1), f(tile_id, r, c, r0, c0) AS (SELECT tile_id, r, c, r, c FROM p UNION SELECT f.tile_id, p.r, p.c, r0, c0 FROM f JOIN p ON p.tile_id = f.tile_id AND abs(p.r - f.r) + abs(p.c - f.c) = 1), l AS (SELECT tile_id, r, c, min(r0 * 10000000::BIGINT + c0) k FROM f GROUP BY 1, 2, 3), s AS (SELECT tile_id, k, count(*) n FROM l GROUP BY 1, 2)"
+
+
+@query(
+    sql(
+        "pg", LABELLED + """, parts AS (SELECT tile_id, count(*) FILTER (n >= 10) n_components, count(*) FILTER (n < 10) n_filtered, round(coalesce(max(n) FILTER (n >= 10), 0) / sum(n), 6) largest_share FROM s GROUP BY 1),
+    m AS (SELECT tile_id, count(*) FILTER (p = 1 AND g = 1) tp, count(*) FILTER (p = 1 AND g = 0) fp, count(*) FILTER (p = 0 AND g = 1) fn, count(*) FILTER (p = 0 AND g = 0) tn, round(avg(p), 6) density, round(avg(g), 6) truth_density FROM pg GROUP BY 1)
+    SELECT tile_id, n_components, n_filtered, largest_share, density, tp, fp, fn, tn, round(tp / (tp + fp + fn), 6) iou, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) recall, round(2 * tp / (2 * tp + fp + fn), 6) f1, round((tp + tn) / (tp + fp + fn + tn), 6) accuracy, truth_density
+    FROM parts JOIN m USING (tile_id)""",
+    )
+)
+def r47_evaluation(spark, sf_dir):
+    truth, predicted = views.masks(spark, sf_dir)
+    return rounded(raster.evaluated(predicted, truth))
+
+
+@query(sql("truth", """, faulty AS (SELECT *, CASE WHEN "row" BETWEEN 40 AND 44 AND col BETWEEN 0 AND 40 THEN 1 WHEN "row" BETWEEN 10 AND 30 AND col BETWEEN 20 AND 30 THEN 0 ELSE v END p FROM truth)
+    SELECT tile_id, count(*) FILTER (p = 1 AND v = 1) tp, count(*) FILTER (p = 1 AND v = 0) fp, count(*) FILTER (p = 0 AND v = 1) fn, round(count(*) FILTER (p = 1 AND v = 1) / count(*) FILTER (p = 1 OR v = 1), 6) iou FROM faulty GROUP BY 1"""))
+def r58_known_faults(spark, sf_dir):
+    truth, _ = views.masks(spark, sf_dir)
+    faulty = raster.with_known_faults(truth, (10, 30, 20, 30), (40, 44, 0, 40))
+    return rounded(raster.confusion(raster.paired(faulty, truth)).select("tile_id", "tp", "fp", "fn", "iou"))
+
+
+@query()
+def r51_synthetic_tiles(spark, sf_dir):
+    return rounded(rasters.synthetic_tiles(views.masks(spark, sf_dir)[0]))
+
+
+@query(
+    """WITH m AS (SELECT s_suppkey::BIGINT id, 1.0::DOUBLE + s_suppkey % 30 resolution_m, CASE s_suppkey % 5 WHEN 0 THEN 'LISS-IV' WHEN 1 THEN 'Sentinel-2' WHEN 2 THEN ' sentinel 1 ' WHEN 3 THEN 's1' ELSE 'drone' END AS source FROM supplier),
+    p AS (SELECT *, CASE source WHEN 'LISS-IV' THEN 5.8::DOUBLE WHEN 'drone' THEN resolution_m ELSE 10.0::DOUBLE END pixel_m, CASE source WHEN 'Sentinel-2' THEN 2 WHEN ' sentinel 1 ' THEN 2 ELSE 4 END gap FROM m),
+    s AS (SELECT *, round(gap * pixel_m * 1.5::DOUBLE, 1) snap_m FROM p)
+    SELECT id, resolution_m, source, pixel_m, snap_m, round(snap_m * 1.75::DOUBLE, 1) second_snap_m, round(greatest(pixel_m * 1.5::DOUBLE, 5), 1) stub_m, round(greatest(pixel_m * 3, 10), 1) least_road_m,
+           round(greatest(pixel_m * 2, 7), 1) road_width_m, round(pixel_m * 8, 1) wide_stub_m, greatest(1, round(pixel_m / 5.8::DOUBLE))::INT closing_px FROM s"""
+)
+def s29_thresholds(spark, sf_dir):
+    k = F.col("s_suppkey")
+    source = F.element_at(F.array(*(F.lit(x) for x in ("LISS-IV", "Sentinel-2", " sentinel 1 ", "s1", "drone"))), (k % 5 + 1).cast("int"))
+    return settings.thresholds(views.table(spark, sf_dir, "supplier").select(k.cast("long").alias("id"), (1.0 + k % 30).alias("resolution_m"), source.alias("source")))
+
+
+@query(sql("n100 b100 e100", f", deg AS ({DEGREE}) SELECT (SELECT count(*) FROM deg WHERE degree > 1) n_intersections, round((SELECT count(*) FROM deg WHERE degree > 1) / 7.04::DOUBLE, 6) per_km2, round(sum(weight_m), 6) length_m, round(sum(weight_m) / sum({haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')}), 6) circuity FROM e100 JOIN n100 a ON a.id = source JOIN n100 b ON b.id = target"))
+def x21_street_statistics(spark, sf_dir):
+    return rounded(topology.street_statistics(*views.supplier_grid(spark, sf_dir)))
+
+
 AROUND = "(SELECT unnest(range(-{n}, {n} + 1)) dr) a, (SELECT unnest(range(-{n}, {n} + 1)) dc) b"
 ON = 'SELECT tile_id, "row" AS r, col c FROM truth WHERE v = 1'
 

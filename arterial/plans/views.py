@@ -118,5 +118,5 @@ def sql(views: str, body: str) -> str:
 
     for view in views.split():
         need(view)
-    text = ", ".join(f"{n} AS ({SQL[n].replace('{hav}', haversine_sql('plat', 'plon', 'lat', 'lon'))})" for n in names)
+    text = ", ".join(f"{n} AS MATERIALIZED ({SQL[n].replace('{hav}', haversine_sql('plat', 'plon', 'lat', 'lon'))})" for n in names)
     return f"WITH RECURSIVE {text} {body}"

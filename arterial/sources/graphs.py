@@ -113,3 +113,23 @@ def feature_rows(nodes: DataFrame, crit: DataFrame, edges: DataFrame, lost: Data
     flagged = edges.join(lost.select("edge_idx").withColumn("lost", F.lit(True)), "edge_idx", "left")
     lines = flagged.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("LineString").alias("type"), F.transform("geometry", place).alias("coordinates")).alias("geometry"), F.struct("edge_idx", F.coalesce("lost", F.lit(False)).alias("lost")).alias("properties"))).alias("value"))
     return spots.union(lines)
+
+
+def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """GraphML, an element a line, in as many part files as there are partitions; no line depends on another."""
+    data = lambda key, c: F.concat(F.lit(f'<data key="{key}">'), F.col(c).cast("string"), F.lit("</data>"))
+    line = F.array_join(F.transform("geometry", lambda p: F.concat_ws(" ", p["lat"].cast("string"), p["lon"].cast("string"))), ",")
+    n = nodes.select(F.concat(F.lit('<node id="'), F.col("id").cast("string"), F.lit('">'), data("lat", "lat"), data("lon", "lon"), F.lit("</node>")).alias("value"))
+    e = edges.withColumn("_line", line).select(F.concat(F.lit('<edge source="'), F.col("source").cast("string"), F.lit('" target="'), F.col("target").cast("string"), F.lit('">'), data("weight_m", "weight_m"), data("geometry", "_line"), F.lit("</edge>")).alias("value"))
+    n.union(e).write.mode("overwrite").text(path)
+
+
+def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of GraphML whose elements stand on a line each."""
+    text = spark.read.text(path)
+    found = lambda pattern: F.regexp_extract("value", pattern, 1)
+    data = lambda key: found(f'<data key="{key}">([^<]*)</data>')
+    nodes = text.where(F.col("value").contains("<node ")).select(found('<node id="([^"]*)"').cast("long").alias("id"), data("lat").cast("double").alias("lat"), data("lon").cast("double").alias("lon"))
+    line = F.transform(F.split(data("geometry"), ","), lambda p: point(F.split_part(p, F.lit(" "), F.lit(1)).cast("double"), F.split_part(p, F.lit(" "), F.lit(2)).cast("double")))
+    edges = text.where(F.col("value").contains("<edge ")).select(found('source="([^"]*)"').cast("long").alias("source"), found('target="([^"]*)"').cast("long").alias("target"), data("weight_m").cast("double").alias("weight_m"), line.alias("geometry"))
+    return nodes, edges

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..schema import META_JSON, TEST_BOX, Box
+from .files import exists, first_there
 
 
 class _Part(InputPartition):
@@ -200,3 +201,47 @@ def slippy_tiles(box: Box = TEST_BOX, zoom: int = 17) -> list[tuple[int, int]]:
     x = lambda lon: int((lon + 180.0) / 360.0 * n)
     y = lambda lat: int((1 - math.asinh(math.tan(math.radians(lat))) / math.pi) / 2 * n)
     return [(i, j) for i in range(x(box.min_lon), x(box.max_lon) + 1) for j in range(y(box.max_lat), y(box.min_lat) + 1)]
+
+
+def _one_mask(spark: SparkSession, path: str) -> DataFrame:
+    """A mask as tile 0, from a .npy file or as write_mask has written it."""
+    if path.endswith(".npy"):
+        return read_masks(spark, path).select(F.lit(0).alias("tile_id"), "row", "col", F.col("v").cast("int").alias("v"))
+    return spark.read.parquet(path)
+
+
+def inputs(spark: SparkSession, mask_path: str, meta_path: str, synthetic: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Mask and meta from their files; if either isn't there and synthetic is allowed, the generated arterial mask with a meta row of its own."""
+    if exists(spark, mask_path) and exists(spark, meta_path):
+        return _one_mask(spark, mask_path), read_meta(spark, meta_path)
+    if not synthetic:
+        raise FileNotFoundError(f"{mask_path} or {meta_path}")
+    b, height = TEST_BOX, 200
+    box = F.struct(*(F.lit(getattr(b, c)).alias(c) for c in ("min_lon", "min_lat", "max_lon", "max_lat")))
+    metres = round((b.max_lat - b.min_lat) * 111_320 / height, 2)
+    return arterial_mask(spark, height, height), spark.range(1).select(F.lit("EPSG:4326").alias("crs"), box.alias("bbox"), F.lit(metres).alias("resolution_m"), F.lit("synthetic").alias("source"))
+
+
+def truth_mask(spark: SparkSession, given: str | None, cached: str | None, generate=None) -> DataFrame | None:
+    """The truth, by trust: the given file, the cached one, what generate() makes, or None, with which metrics are left out."""
+    path = first_there(spark, [given, cached])
+    if path is None:
+        return generate() if generate else None
+    return _one_mask(spark, path)
+
+
+#: Fixed values of R51: circles a tile and their radii, by kind of cloud.
+CLOUD_KINDS = {"thin": (3, (4, 8)), "scattered": (8, (3, 6)), "thick": (2, (10, 18)), "haze": (1, (20, 28))}
+
+
+def synthetic_tiles(mask: DataFrame, bands: int = 4, seed: int = 0) -> DataFrame:
+    """(tile_id, band, row, col, value): optical and SAR bands of masks, under the kind of cloud that is a tile's turn.
+
+    Roads and ground have their levels with hashed noise, SAR its speckle; clouds hide optical bands and leave SAR alone.
+    """
+    optical = synthetic_raster(mask, bands, seed)
+    kinds = list(CLOUD_KINDS.items())
+    for turn, (name, (count, radius)) in enumerate(kinds):
+        under = blobs(mask.where(F.col("tile_id") % len(kinds) == turn), count, radius, seed, name)
+        optical = occluded(optical, under, level=0.95 if name != "haze" else None, factor=1.3 if name == "haze" else None)
+    return optical.unionByName(synthetic_speckle(mask, seed).withColumn("band", F.col("band") + bands))

@@ -1,3 +1,4 @@
+import dataclasses
 import json
 import math
 
@@ -7,7 +8,7 @@ from arterial.operators import contract, network, topology
 from arterial.operators.components import components, connectivity
 from arterial.schema import TEST_BOX
 from arterial.sources import graphs
-from arterial.sources.settings import Thresholds, load_config
+from arterial.sources.settings import load_config, start_up_errors, thresholds
 
 DUMBBELL = [(1, 2), (1, 3), (2, 3), (3, 4), (4, 5), (4, 6), (5, 6)]
 PLACES = {1: (0, 0), 2: (0, 1), 3: (1, 1), 4: (2, 1), 5: (3, 1), 6: (3, 0)}
@@ -138,9 +139,29 @@ def test_grid_and_thresholds(spark):
     assert nodes.count() == 25 and edges.agg({"weight_m": "sum"}).first()[0] == pytest.approx(27376, abs=1)
     degree = network.degrees(nodes, edges).groupBy("degree").count().collect()
     assert {r.degree: r["count"] for r in degree} == {2: 4, 3: 12, 4: 9}
-    t = Thresholds(6.0, "LISS-IV")
-    assert (t.snap_m, t.second_pass_snap_m, t.stub_m) == (34.8, 60.9, 8.7)
-    s = Thresholds(10.0, "Sentinel-2")
-    assert (s.snap_m, s.second_pass_snap_m, s.stub_m) == (30.0, 52.5, 15.0)
+    meta = spark.createDataFrame([(6.0, "LISS-IV"), (10.0, "Sentinel-2"), (2.0, "drone"), (3.0, None)], "resolution_m double, source string")
+    got = [(r.snap_m, r.second_snap_m, r.stub_m) for r in thresholds(meta).collect()]
+    assert got == [(34.8, 60.9, 8.7), (30.0, 52.5, 15.0), (12.0, 21.0, 5.0), (18.0, 31.5, 5.0)]
     assert load_config()["collapse_threshold"] == 0.5
     assert math.isclose(TEST_BOX.max_lat - TEST_BOX.min_lat, 0.02, abs_tol=1e-9)
+
+
+def test_start_up_errors(spark, tmp_path):
+    (tmp_path / "there").write_text("x")
+    assert start_up_errors(spark, load_config(), TEST_BOX, [str(tmp_path / "there")]) == []
+    wrong = load_config() | {"collapse_threshold": 0.6, "graph_source": "elsewhere"}
+    found = start_up_errors(spark, wrong, TEST_BOX._replace(min_lon=90.0) if hasattr(TEST_BOX, "_replace") else dataclasses.replace(TEST_BOX, min_lon=90.0), [str(tmp_path / "missing")])
+    assert len(found) == 4
+
+
+def test_graphml_round_trip(spark, tmp_path):
+    nodes, edges = graph(spark, DUMBBELL, 2.5, PLACES)
+    graphs.write_graphml(nodes, edges, str(tmp_path / "g"))
+    n, e = graphs.read_graphml(spark, str(tmp_path / "g"))
+    assert sorted(map(tuple, n.collect())) == sorted(map(tuple, nodes.select("id", "lat", "lon").collect()))
+    assert sorted(map(str, e.collect())) == sorted(map(str, edges.select("source", "target", "weight_m", "geometry").collect()))
+
+
+def test_street_statistics(spark):
+    r = topology.street_statistics(*graph(spark, [(1, 2), (2, 3)], 150_000.0), area_km2=2.0).first()
+    assert (r.n_intersections, r.per_km2, r.length_m) == (1, 0.5, 300_000.0) and r.circuity == pytest.approx(150_000 / 111_194.93, rel=1e-4)

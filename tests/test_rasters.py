@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from arterial.operators import raster
+from arterial.operators import contract, raster
 from arterial.sources import rasters
 
 
@@ -137,3 +137,50 @@ def test_generated_masks(spark):
     seeds = spark.createDataFrame([(i,) for i in range(5)], "seed int")
     n = {r.tile_id: r.n for r in rasters.seeded_masks(rasters.grid_mask(spark, 30, 10, 2, 4), seeds).groupBy("tile_id").agg(F.sum("v").alias("n")).collect()}
     assert n[0] == n[1] == n[2] < n[3] == n[4]
+
+
+def test_losses_of_pixels(spark):
+    """The soft skeleton of a thin line is the line; equal images lose nothing but smoothing."""
+    line = np.zeros((12, 12))
+    line[6, 2:10] = 1
+    assert (raster.soft_skeleton(line) == line).all()
+    wide = np.zeros((12, 20))
+    wide[4:9, 2:18] = 1
+    skeleton = raster.soft_skeleton(wide)
+    assert 0 < skeleton.sum() < wide.sum() and not (skeleton > wide).any()
+    rows = [(0, r, c, float(wide[r, c]), int(wide[r, c])) for r in range(12) for c in range(20)]
+    pixels = spark.createDataFrame(rows, "tile_id int, row int, col int, p double, y int")
+    r = raster.combined_loss(pixels).first()
+    assert max(r.dice, r.bce, r.focal, r.boundary, r.connectivity, r.total) < 1e-6
+    x = np.pad(wide, 1)
+    gx = sum(w * (x[i : i + 12, 2:] - x[i : i + 12, :-2]) for i, w in enumerate((1, 2, 1)))
+    gy = sum(w * (x[2:, i : i + 20] - x[:-2, i : i + 20]) for i, w in enumerate((1, 2, 1)))
+    assert np.allclose(image(raster.soft_edges(pixels, "p"), "edge"), np.sqrt(gx**2 + gy**2 + 1e-8))
+
+
+def test_inputs_and_truth_by_trust(spark, tmp_path):
+    mask, meta = rasters.inputs(spark, str(tmp_path / "m.npy"), str(tmp_path / "meta.json"))
+    assert mask.count() == 40_000 and meta.first().source == "synthetic" and contract.meta_violations(meta).count() == 0
+    with pytest.raises(FileNotFoundError):
+        rasters.inputs(spark, str(tmp_path / "m.npy"), str(tmp_path / "meta.json"), synthetic=False)
+    rasters.write_meta(meta, str(tmp_path / "meta.json"))
+    np.save(tmp_path / "m.npy", np.eye(30, dtype=np.uint8))
+    mask, meta = rasters.inputs(spark, str(tmp_path / "m.npy"), str(tmp_path / "meta.json"))
+    assert mask.agg(F.sum("v")).first()[0] == 30 and meta.count() == 1
+    given, cached = str(tmp_path / "given.npy"), str(tmp_path / "m.npy")
+    total = lambda m: m.agg(F.sum("v")).first()[0]
+    assert rasters.truth_mask(spark, given, given) is None
+    assert total(rasters.truth_mask(spark, given, given, lambda: rasters.arterial_mask(spark))) > 100 and total(rasters.truth_mask(spark, given, cached)) == 30
+    np.save(tmp_path / "given.npy", np.ones((3, 3), np.uint8))
+    assert total(rasters.truth_mask(spark, given, cached)) == 9
+
+
+def test_evaluation_fits_the_truth(spark):
+    truth = rasters.grid_mask(spark, 40, 10, 3, 4)
+    small = truth.where("row % 2 = 0 and col % 2 = 0").select("tile_id", (F.col("row") / 2).cast("int").alias("row"), (F.col("col") / 2).cast("int").alias("col"), "v")
+    same = raster.evaluated(truth, truth).first()
+    assert same.iou == 1 and same.density == same.truth_density
+    assert raster.evaluated(small, truth).first().iou == 1
+    assert "iou" not in raster.evaluated(truth, None).columns
+    tiles = rasters.synthetic_tiles(truth, 3)
+    assert tiles.groupBy("band").count().count() == 5 and tiles.where("band < 3 and (value < 0 or value > 1.3)").count() == 0
