@@ -1,19 +1,5 @@
-"""Cutting lineage on storage that every executor reaches."""
+"""Cutting lineage, as the rest of the library does it."""
 
-import tempfile
+from ..storage import checkpoint_dir, saved
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where a session names none, as in tests, a local folder."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="arterial-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """df computed once, kept in the checkpoint folder: losing an executor loses nothing."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+__all__ = ["checkpoint_dir", "saved"]
