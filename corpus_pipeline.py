@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arterial.llm import decontamination, line_dedup, mixing, ngram_join, quality_rules
-from arterial.llm.storage import checkpoint_dir
+from arterial.storage import checkpoint_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
