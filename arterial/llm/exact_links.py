@@ -71,17 +71,18 @@ def estimates(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.ceil(4 * np.log2(1 + excess)), 255).astype(np.uint8)
 
 
-def _rarest(sets: Sets, percent: int, sketch: np.ndarray):
-    """A row for each element that a set can share first with a linked one: rare ones by the sketch come first."""
-    bound = Overlap(percent)
+def _rarest(sets: Sets, percent: int, counts: np.ndarray):
+    """A row for each element that a set can share first with a linked one: rare ones by the sketch come first, what occurs once is left out."""
+    bound, sketch, several = Overlap(percent), estimates(counts), counts > 1
 
     def rarest(batches):
         for batch in batches:
             for i, row, h, n in sets(batch.column(2)):
                 order = np.lexsort((h, sketch[(h & U64(SKETCH - 1)).astype(np.int64)], row))
                 rank = np.arange(len(h)) - (np.cumsum(n) - n)[row]
-                inside = rank < bound.probe(n, 1)[row]
-                row, h, rank = row[inside], h[order][inside], rank[inside]
+                h = h[order]
+                inside = (rank < bound.probe(n, 1)[row]) & several[(h & U64(SKETCH - 1)).astype(np.int64)]
+                row, h, rank = row[inside], h[inside], rank[inside]
                 at = pa.array(row + i)
                 columns = [pa.array(signed(h)), batch.column(0).take(at), batch.column(1).take(at), pa.array(n[row]), pa.array(rank)]
                 yield pa.RecordBatch.from_arrays(columns, ["token", "node", "root", "size", "rank"])
@@ -89,63 +90,85 @@ def _rarest(sets: Sets, percent: int, sketch: np.ndarray):
     return rarest
 
 
-def _cross_links(similar: Similar, percent: int):
-    """Links between the sets of a cell that lie in different components; those that the links found before connect are left out."""
-    bound = Overlap(percent)
+class _Cells:
+    """The rows of some cells, sorted by cell and size, with their sets and components numbered."""
 
-    def cross(cells: pa.Table, values: pa.Table) -> pa.Table:
-        columns = [cells.column(c).to_numpy() for c in ("token", "node", "root", "size", "rank", "before", "part", "low", "high")]
+    def __init__(self, table: pa.Table, percent: int):
+        columns = [table.column(c).to_numpy() for c in ("token", "node", "root", "size", "rank", "before", "part", "low", "high")]
         token, node, _, size, _, _, _, low, high = columns
         order = np.lexsort((node, size, high, low, token))
-        token, node, root, size, rank, before, part, low, high = (c[order] for c in columns)
+        token, node, root, self.size, self.rank, self.before, self.part, self.low, self.high = (c[order] for c in columns)
         new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-        start = np.flatnonzero(new)
-        end = np.append(start[1:], len(token))[np.cumsum(new) - 1]
+        new[1:] = (token[1:] != token[:-1]) | (self.low[1:] != self.low[:-1]) | (self.high[1:] != self.high[:-1])
+        self.end = np.append(np.flatnonzero(new)[1:], len(token))[np.cumsum(new) - 1]
+        self.nodes, once, self.node = np.unique(node, return_index=True, return_inverse=True)
+        roots, self.of_node = np.unique(root[once], return_inverse=True)
+        self.up, self.bound = np.arange(len(roots)), Overlap(percent)
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Numbers of sets that meet in a cell, lie in different components so far and can be linked, distance by distance."""
+        i, d = np.arange(len(self.node)), 0
+        while True:
+            d += 1
+            i = i[i + d < self.end[i]]
+            if not len(i):
+                return
+            j = i + d
+            ok = (self.up[self.of_node[self.node[i]]] != self.up[self.of_node[self.node[j]]]) & ((self.low[i] == self.high[i]) | (self.part[i] != self.part[j]))
+            x, y = i[ok], j[ok]
+            ok = self.bound.feasible(self.size[x], self.rank[x], 1, self.before[x], self.size[y], self.rank[y], self.before[y])
+            yield self.node[x[ok]], self.node[y[ok]]
+
+
+def _with_partners(percent: int):
+    """The sets that some other one of their cells may be linked with; of all others the elements needn't be sent."""
+
+    def find(cells: pa.Table) -> pa.Table:
+        x = _Cells(cells, percent)
+        found = np.zeros(len(x.nodes), bool)
+        for a, b in x.pairs():
+            found[a] = found[b] = True
+        return pa.table({"shard": pa.array([cells.column("shard")[0].as_py()] * int(found.sum()), pa.int64()), "node": pa.array(x.nodes[found], pa.int64())})
+
+    return find
+
+
+def _cross_links(similar: Similar, percent: int):
+    """Links between the sets of a cell that lie in different components; those that the links found before connect are left out."""
+
+    def cross(cells: pa.Table, values: pa.Table) -> pa.Table:
+        x = _Cells(cells, percent)
         value = dict(zip(values.column("key").to_pylist(), values.column("value").to_pylist(), strict=True))
-        nodes, once, node = np.unique(node, return_index=True, return_inverse=True)
-        roots, of_node = np.unique(root[once], return_inverse=True)
-        up = np.arange(len(roots))
         seen, waiting, links = np.zeros(0, np.int64), [], []
 
         def settle() -> None:
-            nonlocal up, seen
+            nonlocal seen
             pairs = np.setdiff1d(np.concatenate(waiting), seen) if waiting else seen[:0]
             for at in range(0, len(pairs), MOST_PAIRS):
-                x, y = np.divmod(pairs[at : at + MOST_PAIRS], len(nodes))
-                apart = up[of_node[x]] != up[of_node[y]]
-                x, y = x[apart], y[apart]
-                linked = similar([value[k] for k in nodes[x].tolist()], [value[k] for k in nodes[y].tolist()], percent)
-                for i, j in zip(x[linked].tolist(), y[linked].tolist(), strict=True):
-                    p, q = int(of_node[i]), int(of_node[j])
-                    while up[p] != p:
-                        p = int(up[p])
-                    while up[q] != q:
-                        q = int(up[q])
+                a, b = np.divmod(pairs[at : at + MOST_PAIRS], len(x.nodes))
+                apart = x.up[x.of_node[a]] != x.up[x.of_node[b]]
+                a, b = a[apart], b[apart]
+                linked = similar([value[k] for k in x.nodes[a].tolist()], [value[k] for k in x.nodes[b].tolist()], percent)
+                for i, j in zip(a[linked].tolist(), b[linked].tolist(), strict=True):
+                    p, q = int(x.of_node[i]), int(x.of_node[j])
+                    while x.up[p] != p:
+                        p = int(x.up[p])
+                    while x.up[q] != q:
+                        q = int(x.up[q])
                     if p != q:
-                        up[max(p, q)] = min(p, q)
-                        links.append((nodes[i], nodes[j]))
-                while (jumped := up[up]).tobytes() != up.tobytes():
-                    up = jumped
+                        x.up[max(p, q)] = min(p, q)
+                        links.append((x.nodes[i], x.nodes[j]))
+                while (jumped := x.up[x.up]).tobytes() != x.up.tobytes():
+                    x.up = jumped
             seen = np.union1d(seen, pairs) if len(seen) < 1 << 22 else pairs
             waiting.clear()
 
-        i, d = np.arange(len(token)), 0
-        while True:
-            d += 1
-            i = i[i + d < end[i]]
-            if not len(i):
-                break
-            j = i + d
-            ok = (up[of_node[node[i]]] != up[of_node[node[j]]]) & ((low[i] == high[i]) | (part[i] != part[j]))
-            x, y = i[ok], j[ok]
-            ok = bound.feasible(size[x], rank[x], 1, before[x], size[y], rank[y], before[y])
-            x, y = node[x[ok]], node[y[ok]]
-            waiting.append(np.minimum(x, y) * len(nodes) + np.maximum(x, y))
+        for a, b in x.pairs() if len(value) else ():
+            waiting.append(np.minimum(a, b) * len(x.nodes) + np.maximum(a, b))
             if sum(map(len, waiting)) > 1 << 16:
                 settle()
         settle()
-        return pa.table({"a": pa.array([int(x) for x, _ in links], pa.int64()), "b": pa.array([int(y) for _, y in links], pa.int64())})
+        return pa.table({"a": pa.array([int(i) for i, _ in links], pa.int64()), "b": pa.array([int(j) for _, j in links], pa.int64())})
 
     return cross
 
@@ -154,7 +177,7 @@ def exact_links(nodes: DataFrame, percent: int, sets: Sets, similar: Similar) ->
     """Links (a, b) that connect all sets of different components with a similarity of percent. nodes: node, root, value; a node once."""
     nodes = nodes.select("node", "root", "value")
     counts = key_counts(nodes.select("value"), lambda batch: (h for _, _, h, _ in sets(batch.column(0))), SKETCH)
-    posted = saved(nodes.mapInArrow(_rarest(sets, percent, estimates(counts)), "token long, node long, root long, size long, rank long"))
+    posted = saved(nodes.mapInArrow(_rarest(sets, percent, counts), "token long, node long, root long, size long, rank long"))
     shared = posted.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.ceil(F.count("*") / BLOCK).alias("blocks"), F.min(F.xxhash64("node")).alias("family")).where("x <> y").select("token", "blocks", "family")
     before = F.row_number().over(Window.partitionBy("node").orderBy("rank")).cast("long") - 1
     cells = posted.join(shared, "token").withColumn("before", before).withColumn("part", F.expr("pmod(xxhash64(node), blocks)"))
@@ -163,5 +186,6 @@ def exact_links(nodes: DataFrame, percent: int, sets: Sets, similar: Similar) ->
     rows, elements = cells.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     n = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // CELL_ROWS, 8 * elements // CELL_BYTES)
     cells = cells.withColumn("shard", F.pmod(F.xxhash64("family", "low", "high"), F.lit(n)))
-    values = cells.select("shard", "node").distinct().join(nodes.select("node", "value"), "node").toDF("key", "of", "value")
+    wanted = cells.groupBy("shard").applyInArrow(_with_partners(percent), "shard long, node long")
+    values = wanted.join(nodes.select("node", "value"), "node").toDF("key", "of", "value")
     return saved(cells.groupBy("shard").cogroup(values.groupBy("of")).applyInArrow(_cross_links(similar, percent), "a long, b long"))

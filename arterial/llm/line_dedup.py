@@ -337,15 +337,24 @@ def line_components(docs: DataFrame, percent: int) -> DataFrame:
     return components(links.union(exact_links(left.join(texts, "line").toDF("node", "root", "value"), percent, _sets, _similar)))
 
 
-def _occurrences(batches):
-    for batch in batches:
-        docs, numbers, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i, _, _, _, doc, number, key in _lines(batch.column(2)):
-            docs.append(doc + i)
-            numbers.append(number)
-            keys.append(signed(key))
-        at = pa.array(np.concatenate(docs))
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(numbers), pa.int64()), pa.array(np.concatenate(keys))], ["id", "th", "number", "line"])
+def _occurrences(wanted: bytes | None = None):
+    """The lines of documents, or those that may be in a Bloom filter."""
+
+    def find(batches):
+        bits = None if wanted is None else np.unpackbits(np.frombuffer(wanted, np.uint8))
+        for batch in batches:
+            docs, numbers, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i, _, _, _, doc, number, key in _lines(batch.column(2)):
+                if bits is not None and len(key):
+                    hit = maybe_in(bits, key)
+                    doc, number, key = doc[hit], number[hit], key[hit]
+                docs.append(doc + i)
+                numbers.append(number)
+                keys.append(signed(key))
+            at = pa.array(np.concatenate(docs))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(numbers), pa.int64()), pa.array(np.concatenate(keys))], ["id", "th", "number", "line"])
+
+    return find
 
 
 def _cut(column: int, removed: int):
@@ -371,13 +380,14 @@ def dedup_lines(df: DataFrame, percent: int = 80, doc_id: str = "doc_id", text:
     t = F.coalesce(F.col(text), F.lit(""))
     identity = [F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(t).alias("th")]
     roots = line_components(df.select(t.alias("text")), percent)
-    found = df.select(*identity, t.alias("text")).mapInArrow(_occurrences, "id long, th long, number long, line long")
+    found = lambda wanted=None: df.select(*identity, t.alias("text")).mapInArrow(_occurrences(wanted), "id long, th long, number long, line long")
     place = F.struct("id", "th", "number")
-    lines = found.groupBy("line").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    lines = lines.join(roots.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
-    kept = lines.groupBy("root").agg(F.min("first").alias("keep"), F.max("last").alias("last")).where("keep <> last")
-    drop = lines.select("line", "root").join(kept.select("root", "keep"), "root").select("line", "keep")
-    gone = found.join(drop, "line").where(F.struct("id", "th", "number") != F.col("keep")).groupBy("id", "th").agg(F.collect_set("number").alias("gone"))
+    lines = found().groupBy("line").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    lines = lines.join(roots.withColumnRenamed("node", "line"), "line", "left").where("root is not null or first <> last")
+    lines = saved(lines.withColumn("root", F.coalesce("root", "line")))
+    kept = lines.groupBy("root").agg(F.min("first").alias("keep"), F.max("last").alias("last")).where("keep <> last").select("root", "keep")
+    drop = saved(lines.select("line", "root").join(kept, "root").select("line", "keep"))
+    gone = found(bloom(drop, "line")).join(drop, "line").where(F.struct("id", "th", "number") != F.col("keep")).groupBy("id", "th").agg(F.collect_set("number").alias("gone"))
     joined = df.select(*identity, whole_row(df)).join(gone, ["id", "th"], "left")
     schema = T.StructType([*df.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
     return joined.select("row.*", F.col("gone").alias(fresh(df, "gone"))).mapInArrow(_cut(df.columns.index(text), len(df.columns)), schema)
