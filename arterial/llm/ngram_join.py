@@ -15,10 +15,10 @@ fixed size; it steers costs only, any order gives the same links.
 Equal sets are one class from the start, known by a 64-bit hash of the set. Rare
 shingles have short posting lists, whose pairs are listed at once. Long lists, as of
 large groups of near copies, are first linked as stars around their most central
-classes. The classes of lists that lie in several components even then are compared
-exactly, in the tasks that list them, which return links only (``exact_links``): a
-linked pair that short lists haven't shown shares a shingle of a long one, so none is
-lost, and a group of near copies costs rows in proportion to its size. Verification is
+classes. The classes of long lists that have a partner there which lies in another
+component even then and fits in size and place are compared exactly, in the tasks that
+list them, which return links only (``exact_links``): a linked pair that short lists
+haven't shown shares a shingle of a long one, where both fit, so none is lost, and a group of near copies costs rows in proportion to its size. Verification is
 exact, on the whole sets of shingle hashes.
 
 Null and empty texts, and texts without words, have an empty set and link with
@@ -30,11 +30,11 @@ result. Other columns may have any name.
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .exact_links import SKETCH, Overlap, estimates, exact_links
+from .exact_links import SKETCH, Overlap, cells_of, estimates, exact_links, with_partners
 from .exchange import blob, parts, pieces, small_batches
 from .frames import whole_row
 from .kernels import U64, lower_ascii, mix, shingle_sets, signed, slices, span_hashes, utf8, word_bounds
@@ -212,14 +212,13 @@ def _first_pairs(percent: int):
     return pairs
 
 
-def _long(batches):
-    """The classes of long lists, with their list."""
+def _rows(batches):
+    """Every posting of the shared lists, with the length of its list."""
     for batch in batches:
         for r in range(batch.num_rows):
-            token, cls, *_ = _read(pa.Table.from_batches([batch.slice(r, 1)]))
+            token, cls, size, rank, _ = _read(pa.Table.from_batches([batch.slice(r, 1)]))
             _, length = _bounds(token)
-            long = np.repeat(length > SHORT_LIST, length)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(token[long])), pa.array(cls[long], pa.int64())], ["token", "cls"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(token)), *(pa.array(c, pa.int64()) for c in (cls, size, rank, np.repeat(length, length)))], ["token", "node", "size", "rank", "length"])
 
 
 def _fetch(k: int, wanted: bytes):
@@ -293,18 +292,21 @@ def jaccard_classes(docs: DataFrame, k: int, percent: int, id_type: str = "long"
     lists = text.mapInArrow(_postings(k, percent, estimates(counts), shards), LIST).groupBy("shard").applyInArrow(_shared(percent), LIST)
     lists = saved(lists)
     pairs = saved(lists.mapInArrow(_first_pairs(percent), PAIR).groupBy("a", "b").agg(F.max("need").alias("need"), F.min("need").alias("star"), F.sum("n").alias("n")))
-    long = saved(lists.mapInArrow(_long, "token long, cls long"))
+    # of the shingles before a posting, only those that another set has posted too can be in both sets of a pair
+    before = F.row_number().over(Window.partitionBy("node").orderBy("rank")).cast("long") - 1
+    long = lists.mapInArrow(_rows, "token long, node long, size long, rank long, length long").withColumn("before", before)
+    long = saved(long.where(F.col("length") > SHORT_LIST).drop("length"))
     # n counts stars as well; a pair that shares too little in short lists can only link by a long one
     first = _links(pairs.where((F.col("star") == 0) | (F.col("n") >= F.col("need"))), text, k, percent)
     roots = components(first)
     if long.isEmpty():
         return described, roots
-    rooted = long.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    still = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    left = saved(rooted.join(still, "token").select("cls", "root").distinct())
+    rooted = long.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    left = saved(with_partners(cells_of(rooted), percent, MAX_MATCH).select("node").distinct())
     if left.isEmpty():
         return described, roots
-    sets = left.join(_sets_of(left.select("cls"), text, k), "cls").toDF("node", "root", "value")
+    left = left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sets = left.join(_sets_of(left.select(F.col("node").alias("cls")), text, k).toDF("node", "value"), "node")
     return described, components(first.union(exact_links(saved(sets), percent, _members, _similar)))
 
 
