@@ -93,17 +93,17 @@ def _rarest(sets: Sets, percent: int, counts: np.ndarray):
 class _Cells:
     """The rows of some cells, sorted by cell and size, with their sets and components numbered."""
 
-    def __init__(self, table: pa.Table, percent: int, need: int = 1):
-        columns = [table.column(c).to_numpy() for c in ("token", "node", "root", "size", "rank", "before", "part", "low", "high")]
-        token, node, _, size, _, _, _, low, high = columns
+    def __init__(self, table: pa.Table, percent: int):
+        columns = [table.column(c).to_numpy() for c in ("token", "node", "root", "size", "rank", "need", "before", "part", "low", "high")]
+        token, node, _, size, *_, low, high = columns
         order = np.lexsort((node, size, high, low, token))
-        token, node, root, self.size, self.rank, self.before, self.part, self.low, self.high = (c[order] for c in columns)
+        token, node, root, self.size, self.rank, self.need, self.before, self.part, self.low, self.high = (c[order] for c in columns)
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (self.low[1:] != self.low[:-1]) | (self.high[1:] != self.high[:-1])
         self.end = np.append(np.flatnonzero(new)[1:], len(token))[np.cumsum(new) - 1]
         self.nodes, once, self.node = np.unique(node, return_index=True, return_inverse=True)
         roots, self.of_node = np.unique(root[once], return_inverse=True)
-        self.up, self.bound, self.need = np.arange(len(roots)), Overlap(percent), need
+        self.up, self.bound = np.arange(len(roots)), Overlap(percent)
 
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Numbers of sets that meet in a cell, lie in different components so far and can be linked, distance by distance."""
@@ -116,15 +116,15 @@ class _Cells:
             j = i + d
             ok = (self.up[self.of_node[self.node[i]]] != self.up[self.of_node[self.node[j]]]) & ((self.low[i] == self.high[i]) | (self.part[i] != self.part[j]))
             x, y = i[ok], j[ok]
-            ok = self.bound.feasible(self.size[x], self.rank[x], self.need, self.before[x], self.size[y], self.rank[y], self.before[y])
+            ok = self.bound.feasible(self.size[x], self.rank[x], self.need[x], self.before[x], self.size[y], self.rank[y], self.before[y])
             yield self.node[x[ok]], self.node[y[ok]]
 
 
-def _with_partners(percent: int, need: int):
+def _with_partners(percent: int):
     """The sets that some other one of their cells may be linked with; of all others the elements needn't be sent."""
 
     def find(cells: pa.Table) -> pa.Table:
-        x = _Cells(cells, percent, need)
+        x = _Cells(cells, percent)
         found = np.zeros(len(x.nodes), bool)
         for a, b in x.pairs():
             found[a] = found[b] = True
@@ -174,9 +174,11 @@ def _cross_links(similar: Similar, percent: int):
 
 
 def cells_of(posted: DataFrame) -> DataFrame:
-    """The cells, dealt to shards, of the elements that lie in several components. posted: token, node, root, size, rank and perhaps before."""
+    """The cells, dealt to shards, of the elements that lie in several components. posted: token, node, root, size, rank; perhaps need (else 1) and before."""
     shared = posted.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.ceil(F.count("*") / BLOCK).alias("blocks"), F.min(F.xxhash64("node")).alias("family")).where("x <> y").select("token", "blocks", "family")
     cells = posted.join(shared, "token").withColumn("part", F.expr("pmod(xxhash64(node), blocks)"))
+    if "need" not in posted.columns:
+        cells = cells.withColumn("need", F.lit(1).cast("long"))
     if "before" not in posted.columns:
         cells = cells.withColumn("before", F.row_number().over(Window.partitionBy("node").orderBy("rank")).cast("long") - 1)
     cells = cells.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")}).drop("blocks", "other")
@@ -186,9 +188,9 @@ def cells_of(posted: DataFrame) -> DataFrame:
     return cells.withColumn("shard", F.pmod(F.xxhash64("family", "low", "high"), F.lit(n)))
 
 
-def with_partners(cells: DataFrame, percent: int, need: int = 1) -> DataFrame:
-    """(shard, node) of the sets that another one of their cell and of another component may be linked with; need: as the prefixes were chosen."""
-    return cells.groupBy("shard").applyInArrow(_with_partners(percent, need), "shard long, node long")
+def with_partners(cells: DataFrame, percent: int) -> DataFrame:
+    """(shard, node) of the sets that another one of their cell and of another component may be linked with."""
+    return cells.groupBy("shard").applyInArrow(_with_partners(percent), "shard long, node long")
 
 
 def exact_links(nodes: DataFrame, percent: int, sets: Sets, similar: Similar) -> DataFrame:

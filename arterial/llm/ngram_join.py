@@ -216,9 +216,9 @@ def _rows(batches):
     """Every posting of the shared lists, with the length of its list."""
     for batch in batches:
         for r in range(batch.num_rows):
-            token, cls, size, rank, _ = _read(pa.Table.from_batches([batch.slice(r, 1)]))
+            token, cls, size, rank, need = _read(pa.Table.from_batches([batch.slice(r, 1)]))
             _, length = _bounds(token)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(token)), *(pa.array(c, pa.int64()) for c in (cls, size, rank, np.repeat(length, length)))], ["token", "node", "size", "rank", "length"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(token)), *(pa.array(c, pa.int64()) for c in (cls, size, rank, need, np.repeat(length, length)))], ["token", "node", "size", "rank", "need", "length"])
 
 
 def _fetch(k: int, wanted: bytes):
@@ -294,7 +294,7 @@ def jaccard_classes(docs: DataFrame, k: int, percent: int, id_type: str = "long"
     pairs = saved(lists.mapInArrow(_first_pairs(percent), PAIR).groupBy("a", "b").agg(F.max("need").alias("need"), F.min("need").alias("star"), F.sum("n").alias("n")))
     # of the shingles before a posting, only those that another set has posted too can be in both sets of a pair
     before = F.row_number().over(Window.partitionBy("node").orderBy("rank")).cast("long") - 1
-    long = lists.mapInArrow(_rows, "token long, node long, size long, rank long, length long").withColumn("before", before)
+    long = lists.mapInArrow(_rows, "token long, node long, size long, rank long, need long, length long").withColumn("before", before)
     long = saved(long.where(F.col("length") > SHORT_LIST).drop("length"))
     # n counts stars as well; a pair that shares too little in short lists can only link by a long one
     first = _links(pairs.where((F.col("star") == 0) | (F.col("n") >= F.col("need"))), text, k, percent)
@@ -302,7 +302,7 @@ def jaccard_classes(docs: DataFrame, k: int, percent: int, id_type: str = "long"
     if long.isEmpty():
         return described, roots
     rooted = long.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    left = saved(with_partners(cells_of(rooted), percent, MAX_MATCH).select("node").distinct())
+    left = saved(with_partners(cells_of(rooted), percent).select("node").distinct())
     if left.isEmpty():
         return described, roots
     left = left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
