@@ -98,6 +98,7 @@ class _Cells:
         token, node, _, size, *_, low, high = columns
         order = np.lexsort((node, size, high, low, token))
         token, node, root, self.size, self.rank, self.need, self.before, self.part, self.low, self.high = (c[order] for c in columns)
+        self.token = token
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (self.low[1:] != self.low[:-1]) | (self.high[1:] != self.high[:-1])
         self.end = np.append(np.flatnonzero(new)[1:], len(token))[np.cumsum(new) - 1]
@@ -106,7 +107,7 @@ class _Cells:
         self.up, self.bound = np.arange(len(roots)), Overlap(percent)
 
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Numbers of sets that meet in a cell, lie in different components so far and can be linked, distance by distance."""
+        """Rows of sets that meet in a cell, lie in different components so far and can be linked, distance by distance."""
         i, d = np.arange(len(self.node)), 0
         while True:
             d += 1
@@ -117,7 +118,7 @@ class _Cells:
             ok = (self.up[self.of_node[self.node[i]]] != self.up[self.of_node[self.node[j]]]) & ((self.low[i] == self.high[i]) | (self.part[i] != self.part[j]))
             x, y = i[ok], j[ok]
             ok = self.bound.feasible(self.size[x], self.rank[x], self.need[x], self.before[x], self.size[y], self.rank[y], self.before[y])
-            yield self.node[x[ok]], self.node[y[ok]]
+            yield x[ok], y[ok]
 
 
 def _with_partners(percent: int):
@@ -127,12 +128,29 @@ def _with_partners(percent: int):
         x = _Cells(cells, percent)
         found = np.zeros(len(x.nodes), bool)
         for a, b in x.pairs():
-            found[a] = found[b] = True
+            found[x.node[a]] = found[x.node[b]] = True
         return pa.table({"shard": pa.array([cells.column("shard")[0].as_py()] * int(found.sum()), pa.int64()), "node": pa.array(x.nodes[found], pa.int64())})
 
     return find
 
 
+def _partner_needs(percent: int):
+    """The elements at which a set may be linked with one of another component, and the least number of elements that a partner there asks for."""
+    most = np.iinfo(np.int64).max
+
+    def find(cells: pa.Table) -> pa.Table:
+        x = _Cells(cells, percent)
+        least = np.full(len(x.node), most)
+        for i, j in x.pairs():
+            need = np.minimum(x.need[i], x.need[j])
+            np.minimum.at(least, i, need)
+            np.minimum.at(least, j, need)
+        found = least < most
+        return pa.table({"token": pa.array(x.token[found], pa.int64()), "node": pa.array(x.nodes[x.node[found]], pa.int64()), "need": pa.array(least[found], pa.int64())})
+
+    return find
+
+
 def _cross_links(similar: Similar, percent: int):
     """Links between the sets of a cell that lie in different components; those that the links found before connect are left out."""
 
@@ -163,7 +181,8 @@ def _cross_links(similar: Similar, percent: int):
             seen = np.union1d(seen, pairs) if len(seen) < 1 << 22 else pairs
             waiting.clear()
 
-        for a, b in x.pairs() if len(value) else ():
+        for i, j in x.pairs() if len(value) else ():
+            a, b = x.node[i], x.node[j]
             waiting.append(np.minimum(a, b) * len(x.nodes) + np.maximum(a, b))
             if sum(map(len, waiting)) > 1 << 16:
                 settle()
@@ -193,6 +212,12 @@ def with_partners(cells: DataFrame, percent: int) -> DataFrame:
     return cells.groupBy("shard").applyInArrow(_with_partners(percent), "shard long, node long")
 
 
+def partner_counts(cells: DataFrame, percent: int) -> DataFrame:
+    """(node, shared, need): at how many elements a set may be linked with one of another component, and how many a partner asks for at least."""
+    found = cells.groupBy("shard").applyInArrow(_partner_needs(percent), "token long, node long, need long")
+    return found.groupBy("node", "token").agg(F.min("need").alias("need")).groupBy("node").agg(F.count("*").alias("shared"), F.min("need").alias("need"))
+
+
 def exact_links(nodes: DataFrame, percent: int, sets: Sets, similar: Similar) -> DataFrame:
     """Links (a, b) that connect all sets of different components with a similarity of percent. nodes: node, root, value; a node once."""
     nodes = nodes.select("node", "root", "value")

@@ -15,10 +15,11 @@ fixed size; it steers costs only, any order gives the same links.
 Equal sets are one class from the start, known by a 64-bit hash of the set. Rare
 shingles have short posting lists, whose pairs are listed at once. Long lists, as of
 large groups of near copies, are first linked as stars around their most central
-classes. The classes of long lists that have a partner there which lies in another
-component even then and fits in size and place are compared exactly, in the tasks that
-list them, which return links only (``exact_links``): a linked pair that short lists
-haven't shown shares a shingle of a long one, where both fit, so none is lost, and a group of near copies costs rows in proportion to its size. Verification is
+classes. A linked pair that lies in different components even then shares as many
+shingles as it needs at places where both fit. So the classes that have partners of other
+components at so many places, short lists counted in, are compared exactly, in the tasks
+that list them, which return links only (``exact_links``): none is lost, no pairs are
+written, and a group of near copies costs rows in proportion to its size. Verification is
 exact, on the whole sets of shingle hashes.
 
 Null and empty texts, and texts without words, have an empty set and link with
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .exact_links import SKETCH, Overlap, cells_of, estimates, exact_links, with_partners
+from .exact_links import SKETCH, Overlap, cells_of, estimates, exact_links, partner_counts
 from .exchange import blob, parts, pieces, small_batches
 from .frames import whole_row
 from .kernels import U64, lower_ascii, mix, shingle_sets, signed, slices, span_hashes, utf8, word_bounds
@@ -302,7 +303,11 @@ def jaccard_classes(docs: DataFrame, k: int, percent: int, id_type: str = "long"
     if long.isEmpty():
         return described, roots
     rooted = long.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    left = saved(with_partners(cells_of(rooted), percent).select("node").distinct())
+    # a pair not verified yet shares fewer than it needs in short lists, and the rest at places of long ones where both fit
+    sides = pairs.where((F.col("star") > 0) & (F.col("n") < F.col("need"))).select(F.explode(F.array("a", "b")).alias("node"), "n")
+    short = sides.groupBy("node").agg(F.max("n").alias("short"))
+    left = partner_counts(cells_of(rooted), percent).join(short, "node", "left")
+    left = saved(left.where(F.col("shared") + F.coalesce("short", F.lit(0)) >= F.col("need")).select("node"))
     if left.isEmpty():
         return described, roots
     left = left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
