@@ -19,7 +19,8 @@ classes. A linked pair that lies in different components even then shares as man
 shingles as it needs at places where both fit. So the classes that have partners of other
 components at so many places, short lists counted in, are compared exactly, in the tasks
 that list them, which return links only (``exact_links``): none is lost, no pairs are
-written, and a group of near copies costs rows in proportion to its size. Verification is
+written, and a group of near copies costs rows in proportion to its size. Whole sets are
+sent only where counts of both sets' hashes by cells allow a link. Verification is
 exact, on the whole sets of shingle hashes.
 
 Null and empty texts, and texts without words, have an empty set and link with
@@ -29,13 +30,15 @@ give equal rows; texts of any length are read whole. An empty table gives an emp
 result. Other columns may have any name.
 """
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .exact_links import SKETCH, Overlap, cells_of, estimates, exact_links, partner_counts
+from .exact_links import SKETCH, Overlap, Similar, cells_of, estimates, exact_links, partner_counts
 from .exchange import blob, parts, pieces, small_batches
 from .frames import whole_row
 from .kernels import U64, lower_ascii, mix, shingle_sets, signed, slices, span_hashes, utf8, word_bounds
@@ -46,6 +49,8 @@ SHORT_LIST = 16
 MAX_MATCH = 8
 POSTINGS_AT_ONCE = 1 << 20  # that a task gathers before it sends them
 VERIFY_COST = 20.0  # in postings scanned
+CELLS = 256  # of the counts that tell whether two sets can share enough
+COUNTED = 65535  # members of a set that has counts; larger sets are always verified
 CHANCE = 0.05  # candidates that any shingle may bring, however rare it looks in the sketch
 PAIR = "a long, b long, need int, n int"
 
@@ -222,7 +227,14 @@ def _rows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(signed(token)), *(pa.array(c, pa.int64()) for c in (cls, size, rank, need, np.repeat(length, length)))], ["token", "node", "size", "rank", "need", "length"])
 
 
-def _fetch(k: int, wanted: bytes):
+def _cell_counts(h: np.ndarray) -> bytes:
+    """How many of a set's hashes fall into each of CELLS cells; empty if the set is too large for the counters."""
+    if len(h) > COUNTED:
+        return b""
+    return blob(np.bincount((h >> U64(20)).astype(np.int64) & (CELLS - 1), minlength=CELLS).astype(np.uint16))
+
+
+def _fetch(k: int, wanted: bytes, form: Callable[[np.ndarray], bytes]):
     def fetch(batches):
         bits = np.unpackbits(np.frombuffer(wanted, np.uint8))
         seen: set[int] = set()
@@ -234,7 +246,7 @@ def _fetch(k: int, wanted: bytes):
                 for d in np.flatnonzero(maybe_in(bits, classes.view(U64)) & (sizes > 0)):
                     if (c := int(classes[d])) not in seen:
                         seen.add(c)
-                        found.append((c, blob(h[ends[d] - sizes[d] : ends[d]])))
+                        found.append((c, form(h[ends[d] - sizes[d] : ends[d]])))
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], ["cls", "members"])
 
     return fetch
@@ -260,27 +272,41 @@ def _similar(left: list[bytes], right: list[bytes], percent: int) -> np.ndarray:
     return keep
 
 
-def _verify(percent: int):
+def _may_link(left: list[bytes], right: list[bytes], percent: int) -> np.ndarray:
+    """Can each pair of sets be linked, by their counts? Two sets share at most the lesser count of each cell."""
+    keep = np.ones(len(left), bool)
+    known = np.array([len(x) > 0 and len(y) > 0 for x, y in zip(left, right, strict=True)], bool)
+    if known.any():
+        a, b = (np.frombuffer(b"".join(x for x, ok in zip(side, known, strict=True) if ok), np.uint16).reshape(-1, CELLS).astype(np.int64) for side in (left, right))
+        keep[known] = np.minimum(a, b).sum(1) >= Overlap(percent).pair(a.sum(1), b.sum(1))
+    return keep
+
+
+def _verify(percent: int, similar: Similar):
     def verify(batches):
         for batch in batches:
-            keep = _similar(batch.column(2).to_pylist(), batch.column(3).to_pylist(), percent)
+            keep = similar(batch.column(2).to_pylist(), batch.column(3).to_pylist(), percent)
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep))
 
     return verify
 
 
-def _sets_of(wanted: DataFrame, text: DataFrame, k: int) -> DataFrame:
+def _sets_of(wanted: DataFrame, text: DataFrame, k: int, form: Callable[[np.ndarray], bytes] = blob) -> DataFrame:
     """(cls, members) of the wanted classes, which one more scan of the texts brings. wanted: cls, distinct."""
-    sets = text.mapInArrow(_fetch(k, bloom(wanted, "cls")), "cls long, members binary")
+    sets = text.mapInArrow(_fetch(k, bloom(wanted, "cls"), form), "cls long, members binary")
     return sets.join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
 
 
-def _links(pairs: DataFrame, text: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by the whole sets of their classes."""
-    pairs = saved(pairs.select("a", "b"))
-    sets = _sets_of(saved(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()), text, k)
+def _similar_pairs(pairs: DataFrame, text: DataFrame, k: int, percent: int, form: Callable[[np.ndarray], bytes], similar: Similar) -> DataFrame:
+    sets = _sets_of(saved(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()), text, k, form)
     both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-    return saved(both.select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent), "a long, b long"))
+    return saved(both.select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent, similar), "a long, b long"))
+
+
+def _links(pairs: DataFrame, text: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, by the whole sets of their classes; only sets are sent whose counts allow a link."""
+    possible = _similar_pairs(saved(pairs.select("a", "b")), text, k, percent, _cell_counts, _may_link)
+    return _similar_pairs(possible, text, k, percent, blob, _similar)
 
 
 def jaccard_classes(docs: DataFrame, k: int, percent: int, id_type: str = "long") -> tuple[DataFrame, DataFrame]:
