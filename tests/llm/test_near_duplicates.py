@@ -86,6 +86,21 @@ def test_frequent_shingles_ask_for_longer_prefixes():
     assert chosen[0] == 1 and chosen[1] > 1
 
 
+def test_counts_by_cells_lose_no_link():
+    import numpy as np
+
+    r, linked, passed = np.random.default_rng(1), 0, 0
+    for _ in range(1000):
+        n = int(r.integers(1, 900))
+        a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([r.permutation(a)[: int(n * r.uniform(0.5, 1))], r.integers(0, 2**63, n // 9).astype(np.uint64)]))
+        may = ngram_join._may_link([ngram_join._cell_counts(a), b""], [ngram_join._cell_counts(b), b"x"], 85)
+        does = ngram_join._similar([a.tobytes()], [b.tobytes()], 85)[0]
+        assert may[1] and (may[0] or not does)
+        linked, passed = linked + does, passed + may[0]
+    assert 0 < linked <= passed < 900
+
+
 def test_empty_table(spark):
     assert jaccard_components(spark.createDataFrame([], SCHEMA)).count() == 0
 
