@@ -25,6 +25,7 @@ from .frames import quoted, whole_row
 
 WHITE = "\t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -76,14 +77,13 @@ def repeated_words(words: Column, k: int = 5) -> Column:
 
 def base_counts(text: Column) -> Column:
     """A struct of the counts of a text (no nulls)."""
-    lines = F.filter(F.split(text, "\n"), lambda x: squeezed(x) != "")
     return let(
         words_of(text),
         lambda words: F.struct(
             F.size(words).cast("bigint").alias("n_words"),
             F.length(squeezed(text)).cast("bigint").alias("word_chars"),
             (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
-            let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
+            let(_lines(text), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
             repeated_words(words).alias("n_repeat_words"),
         ),
     )
@@ -93,13 +93,21 @@ def line_hash(line: Column) -> Column:
     return F.xxhash64(F.translate(line, UPPER + "0123456789 " + WHITE, LOWER + "0" * 10))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """A row for each line that has a word, and a last one for the document itself, which carries its counts."""
-    line = F.filter(F.split("t", "\n"), lambda x: squeezed(x) != "")
-    each = F.transform(line, lambda x: F.struct(line_hash(x).alias("line"), F.size(words_of(x)).cast("bigint").alias("words"), F.lit(0).alias("doc")))
-    last = F.array(F.struct(F.col("th").alias("line"), F.lit(0).cast("bigint").alias("words"), F.lit(1).alias("doc")))
-    rows = docs.select("doc_id", "host", "th", "t", F.explode(F.concat(each, last)).alias("x")).select("doc_id", "host", "th", "t", "x.*")
-    return rows.select("doc_id", "host", "th", "line", "words", "doc", F.when(F.col("doc") == 1, base_counts(F.col("t"))).alias("m"))
+def _lines(text: Column) -> Column:
+    """The lines that have a word."""
+    return F.filter(F.split(text, "\n"), lambda x: squeezed(x) != "")
+
+
+def _lines_and_counts(docs: DataFrame) -> DataFrame:
+    """A row for each line that has a word, and a last one for the document itself, which carries its counts (m).
+
+    The text stays behind: beside the exploded lines it would be copied once for each of them.
+    """
+    none = F.lit(None).cast(f"struct<{','.join(f'{c}:bigint' for c in COUNTS)}>")
+    row = lambda line, words, doc, m: F.struct(line.alias("line"), words.cast("bigint").alias("words"), F.lit(doc).alias("doc"), m.alias("m"))
+    each = F.transform(_lines(F.col("t")), lambda x: row(line_hash(x), F.size(words_of(x)), 0, none))
+    last = F.array(row(F.col("th"), F.lit(0), 1, base_counts(F.col("t"))))
+    return docs.select("doc_id", "host", "th", F.explode(F.concat(each, last)).alias("x")).select("doc_id", "host", "th", "x.*")
 
 
 def _prepared(df: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
@@ -110,7 +118,8 @@ def _prepared(df: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
 def frequent_lines(df: DataFrame, limits: Limits = Limits(), doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """(host, line, texts): the lines above their host's limit."""
     docs = _prepared(df, doc_id, text, host)
-    counted = _lines(docs).where("doc = 0").groupBy("host", "line").agg(F.count_distinct("th").alias("texts")).where(F.col("texts") > limits.min_line_texts)
+    each = docs.select("host", "th", F.explode(F.array_distinct(F.transform(_lines(F.col("t")), line_hash))).alias("line"))
+    counted = each.groupBy("host", "line").agg(F.count_distinct("th").alias("texts")).where(F.col("texts") > limits.min_line_texts)
     hosts = docs.groupBy("host").agg(F.count_distinct("th").alias("host_texts"))
     return counted.join(hosts, "host").where((F.col("texts") * 100 > F.col("host_texts") * limits.max_line_percent) | (F.col("texts") > limits.max_line_texts)).select("host", "line", "texts")
 
@@ -120,13 +129,12 @@ def quality_rules(df: DataFrame, limits: Limits = Limits(), doc_id: str = "doc_i
     docs = _prepared(df, doc_id, text, host)
     hot = frequent_lines(df, limits, doc_id, text, host).select("host", "line", F.lit(True).alias("hot"))
     is_hot = F.coalesce("hot", F.lit(False)) & (F.col("doc") == 0)
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    per = _lines(docs).join(hot, ["host", "line"], "left").groupBy("doc_id", "host", "th")
-    per = per.agg(F.sum(F.when(is_hot, F.col("words")).otherwise(0)).alias("lost"), F.collect_set(F.when(is_hot, F.col("line"))).alias("frequent"), F.sum("doc").alias("copies"), *(F.max(f"m.{c}").alias(c) for c in names))
+    per = _lines_and_counts(docs).join(hot, ["host", "line"], "left").groupBy("doc_id", "host", "th")
+    per = per.agg(F.sum(F.when(is_hot, F.col("words")).otherwise(0)).alias("lost"), F.collect_set(F.when(is_hot, F.col("line"))).alias("frequent"), F.sum("doc").alias("copies"), *(F.max(f"m.{c}").alias(c) for c in COUNTS))
     per = per.withColumn("lost_words", F.expr("lost div copies")).withColumn("base_failed", (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.max_repeat_percent * F.col("n_words")))
     depleted = (100 * F.col("lost_words") > limits.max_lost_percent * F.col("n_words")) | (F.col("n_words") - F.col("lost_words") < limits.min_words)
     per = per.withColumn("kept", ~F.col("base_failed") & ~depleted)
-    return per.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc_id", *names, "base_failed", "kept", "lost_words", "frequent", "host", "th")
+    return per.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc_id", *COUNTS, "base_failed", "kept", "lost_words", "frequent", "host", "th")
 
 
 def without_frequent_lines(df: DataFrame, limits: Limits = Limits(), doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
