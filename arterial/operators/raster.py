@@ -567,15 +567,18 @@ def predicted(raster: DataFrame, model: Callable[[np.ndarray], np.ndarray], band
 def resized(raster: DataFrame, height: int, width: int, keys: Sequence[str] = ("tile_id", "band")) -> DataFrame:
     """Bilinear resampling to a common size, sample points at pixel centres, borders held."""
     keys = list(keys)
-    size = raster.groupBy(*keys).agg((F.max("row") + 1).alias("h"), (F.max("col") + 1).alias("w"))
-    grid = size.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
-    y = F.least(F.greatest((F.col("row") + 0.5) * F.col("h") / height - 0.5, F.lit(0.0)), F.col("h") - 1.0)
-    x = F.least(F.greatest((F.col("col") + 0.5) * F.col("w") / width - 0.5, F.lit(0.0)), F.col("w") - 1.0)
-    grid = grid.withColumn("y", y).withColumn("x", x)
-    corner = lambda r, c: F.struct((F.floor("y") + r).cast("int").alias("r"), (F.floor("x") + c).cast("int").alias("c"), ((F.col("y") - F.floor("y") if r else 1 - (F.col("y") - F.floor("y"))) * (F.col("x") - F.floor("x") if c else 1 - (F.col("x") - F.floor("x")))).alias("f"))
-    four = grid.withColumn("s", F.explode(F.array(*(corner(r, c) for r in (0, 1) for c in (0, 1))))).where("s.f > 0").select(*keys, "row", "col", "s.*")
-    old = raster.select(*keys, F.col("row").alias("r"), F.col("col").alias("c"), "value")
-    return four.join(old, [*keys, "r", "c"]).groupBy(*keys, "row", "col").agg(F.sum(F.col("f") * F.col("value")).alias("value"))
+    size = raster.groupBy(*keys).agg((F.max("row") + 1).alias("_h"), (F.max("col") + 1).alias("_w"))
+    # pixels go to the samples that use them; a left join, as sizes may be broadcast, but pixels and samples, whose number Spark underrates, never
+    out = raster.select(*keys, "row", "col", "value").join(size, keys, "left")
+    for axis, extent, n in (("row", "_h", height), ("col", "_w", width)):
+        at, end = F.col(axis), F.col(extent)
+        low = F.when(at == 0, 0).otherwise(F.greatest(F.floor((at - 0.5) * n / end - 0.5), F.lit(0)))
+        high = F.when(at == end - 1, n - 1).otherwise(F.least(F.ceil((at + 1.5) * n / end - 0.5), F.lit(n - 1)))
+        place = F.least(F.greatest((F.col("_to") + 0.5) * end / n - 0.5, F.lit(0.0)), end - 1.0)
+        part = place - F.floor(place)
+        out = out.withColumn("_to", F.explode(F.sequence(low.cast("int"), high.cast("int")))).withColumn(f"_f{axis}", F.when(F.floor(place) == at, 1 - part).when(F.floor(place) + 1 == at, part))
+        out = out.where(F.col(f"_f{axis}") > 0).drop(axis).withColumnRenamed("_to", axis)
+    return out.groupBy(*keys, "row", "col").agg(F.sum(F.col("_frow") * F.col("_fcol") * F.col("value")).alias("value"))
 
 
 def padded_to(raster: DataFrame, step: int = 32, keys: Sequence[str] = ("tile_id", "band")) -> DataFrame:

@@ -124,6 +124,25 @@ def test_resize_and_pad(spark):
     assert np.allclose(padded, np.pad(np.arange(30.0).reshape(5, 6), ((0, 3), (0, 2)), mode="reflect"))
 
 
+def broadcast(df):
+    """What the plan of a frame that was computed broadcasts, as text."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].split("\n")
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    out = []
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            end = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            out += lines[i:end]
+    return "\n".join(out)
+
+
+def test_samples_of_a_resize_stay_off_the_driver(spark):
+    tiles = spark.range(20_000).selectExpr("int(id div 100) tile_id", "0 band", "int(id div 10 % 10) row", "int(id % 10) col", "double(id % 100) value")
+    out = raster.resized(tiles, 25, 4)
+    assert sum(r.value for r in out.collect()) == pytest.approx(200 * 100 * 49.5)
+    assert "Generate" not in broadcast(out)
+
+
 def test_npy_source(spark, tmp_path):
     img = (np.random.default_rng(3).random((30, 20)) < 0.5).astype(np.uint8)
     np.save(tmp_path / "m.npy", img)
