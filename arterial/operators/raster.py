@@ -401,21 +401,50 @@ def edge_scores(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     return confusion(paired(edges(predicted), edges(truth)))
 
 
-def width_split_iou(predicted: DataFrame, truth: DataFrame, narrow: int = 3, wide: int = 5, reach: int = 8) -> DataFrame:
-    """IoU over truth pixels by road width: twice the distance to the background at the nearest skeleton pixel, up to `narrow` or over `wide`."""
-    road = truth.where("v = 1")
-    steps = [(r, c) for r, c in square(reach)]
-    arms = F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), F.lit(float(r * r + c * c)).alias("d")) for r, c in steps))
-
-    def nearest(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
-        at = a.select("tile_id", F.col("row").alias("r0"), F.col("col").alias("c0"), F.explode(arms).alias("s")).select("tile_id", "r0", "c0", (F.col("r0") + F.col("s.r")).alias("row"), (F.col("c0") + F.col("s.c")).alias("col"), F.col("s.d").alias("d"))
-        return at.join(b, ["tile_id", "row", "col"]).groupBy("tile_id", F.col("r0").alias("row"), F.col("c0").alias("col")).agg(F.min_by(value, F.struct("d", "row", "col")).alias("near"), F.min("d").alias("d"))
-
-    spine = skeletonise(truth).where("v = 1").select("tile_id", "row", "col")
-    widths = nearest(spine, truth.where("v = 0").select("tile_id", "row", "col", F.lit(0).alias("z")), "z").select("tile_id", "row", "col", (2 * F.sqrt("d") - 1).alias("width"))
-    on = nearest(road, widths, "width").select("tile_id", "row", "col", F.col("near").alias("width"))
-    hits = on.join(predicted.select("tile_id", "row", "col", F.col("v").alias("p")), ["tile_id", "row", "col"]).withColumn("kind", F.when(F.col("width") <= narrow, "narrow").when(F.col("width") > wide, "wide").otherwise("middle"))
-    return hits.groupBy("tile_id", "kind").agg(F.avg(F.col("p").cast("double")).alias("iou"))
+def nearest_set(on: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Squared distance, row and column of the set pixel nearest to each; ties go to the smaller row, then column. on: one set pixel at least.
+
+    Each column's nearest rows first, then columns at growing distance until no pixel can gain.
+    """
+    h, w = on.shape
+    r, c = np.mgrid[:h, :w]
+    far = h + w
+    up = np.maximum.accumulate(np.where(on, r, -far), 0)
+    down = np.minimum.accumulate(np.where(on, r, h + far)[::-1], 0)[::-1]
+    row = np.where(r - up <= down - r, up, down)
+    own = np.where(on.any(0), (r - row) ** 2 * (h * w) + row * w + c, np.int64(1) << 62)  # distance, row and column in one number
+    best = own.copy()
+    for d in range(1, w):
+        if d * d * h * w > best.max():
+            break
+        best[:, d:] = np.minimum(best[:, d:], own[:, :-d] + d * d * h * w)
+        best[:, :-d] = np.minimum(best[:, :-d], own[:, d:] + d * d * h * w)
+    return best // (h * w), best % (h * w) // w, best % w
+
+
+def width_split_iou(predicted: DataFrame, truth: DataFrame, narrow: int = 3, wide: int = 5) -> DataFrame:
+    """IoU over truth pixels by road width: twice the distance to the background at the nearest skeleton pixel, up to `narrow` or over `wide`; tile by tile."""
+
+    def kernel(truth: pd.DataFrame, predicted: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"tile_id": [], "kind": [], "iou": []})
+        if truth.empty or predicted.empty:
+            return none
+        road, off = (np.zeros((truth["row"].max() + 1, truth["col"].max() + 1), bool) for _ in range(2))
+        road[truth["row"], truth["col"]] = truth["v"] == 1
+        off[truth["row"], truth["col"]] = truth["v"] == 0
+        spine = thin(road)
+        if not spine.any() or not off.any():
+            return none
+        _, r, c = nearest_set(spine)
+        width = (2 * np.sqrt(nearest_set(off)[0]) - 1)[r, c]
+        r, c = np.nonzero(road)
+        on = pd.DataFrame({"r": r, "c": c, "kind": np.where(width[r, c] <= narrow, "narrow", np.where(width[r, c] > wide, "wide", "middle"))})
+        found = on.merge(predicted, on=["r", "c"]).groupby("kind")["p"].mean()
+        return pd.DataFrame({"tile_id": truth["tile_id"].iloc[0], "kind": found.index, "iou": found.to_numpy(float)})
+
+    value = F.col("v").cast("int")
+    right = predicted.select(F.col("tile_id").alias("of"), F.col("row").alias("r"), F.col("col").alias("c"), value.alias("p"))  # other names: a cogroup mixes up columns that both sides have from one frame
+    return truth.select("tile_id", "row", "col", value.alias("v")).groupBy("tile_id").cogroup(right.groupBy("of")).applyInPandas(kernel, f"tile_id {dict(truth.dtypes)['tile_id']}, kind string, iou double")
 
 
 # --- radiometry and fusion -------------------------------------------------------------------------------------------

@@ -143,6 +143,28 @@ def test_samples_of_a_resize_stay_off_the_driver(spark):
     assert "Generate" not in broadcast(out)
 
 
+def test_roads_split_by_width(spark):
+    truth, pred = np.zeros((60, 40), int), np.zeros((60, 40), int)
+    truth[5, :] = truth[10:14, :] = truth[20:51, :] = 1
+    pred[5, :10] = pred[10:14, :20] = pred[20:51, :30] = 1
+    out = raster.width_split_iou(mask(spark, pred), mask(spark, truth))
+    found = {r.kind: r.iou for r in out.collect()}
+    assert found["narrow"] < found["wide"] == pytest.approx(0.75, abs=0.02)
+    total = raster.width_split_iou(mask(spark, pred), mask(spark, truth), 0, 0).first()
+    assert (total.kind, total.iou) == ("wide", pytest.approx(float(pred.sum() / truth.sum())))
+    assert not broadcast(out)
+
+
+def test_nearest_set_pixel():
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        on = rng.random(rng.integers(2, 12, 2)) < rng.choice([0.02, 0.1, 0.5])
+        on[tuple(rng.integers(0, on.shape))] = True
+        d, r, c = raster.nearest_set(on)
+        for i, j in np.ndindex(on.shape):
+            assert (d[i, j], r[i, j], c[i, j]) == min(((i - a) ** 2 + (j - b) ** 2, a, b) for a, b in np.argwhere(on).tolist())
+
+
 def test_npy_source(spark, tmp_path):
     img = (np.random.default_rng(3).random((30, 20)) < 0.5).astype(np.uint8)
     np.save(tmp_path / "m.npy", img)
