@@ -24,6 +24,7 @@ from ..storage import saved
 MAX_EDGES = 2_000_000
 SOURCES_PER_ROW = 64
 TIE = 1e-12
+PLACE_BLOCK = 512  # ids of a place in one row
 
 
 def simple_edges(edges: DataFrame, keep: str = "last") -> DataFrame:
@@ -475,14 +476,32 @@ def cascade_summary(found: DataFrame) -> DataFrame:
     return found.agg(F.avg("cascade_length").alias("mean_length"), F.percentile("cascade_length", F.lit(0.5)).alias("median_length"), F.avg("total_removed").alias("mean_total_removed"), F.avg("acceleration").alias("mean_acceleration"))
 
 
-def within_radius(nodes: DataFrame, radius_m: float, centres: DataFrame | None = None) -> DataFrame:
-    """(centre, id, dist_m): the other nodes within a radius, by a join on grid cells of that size."""
+def near_places(nodes: DataFrame, radius_m: float, centres: DataFrame | None = None) -> DataFrame:
+    """(centres, ids, dist_m): ids of centres and of nodes whose places lie within a radius, by a join on grid cells of that size.
+
+    A place is compared once, whatever number of nodes are there; long lists of ids come in blocks.
+    """
     from .spatial import near_pairs
 
-    left = (nodes if centres is None else centres).select(F.col("id").alias("centre"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"))
-    right = nodes.select("id", F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
-    pairs = near_pairs(left, right, radius_m).where("centre <> id")
-    return pairs.withColumn("dist_m", haversine_atan2(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))).where(F.col("dist_m") <= radius_m).select("centre", "id", "dist_m")
+    def places(at: DataFrame, ids: str, end: str) -> DataFrame:
+        block = lambda i: F.slice(ids, i * PLACE_BLOCK + 1, PLACE_BLOCK)
+        found = at.groupBy(F.col("lat").alias(f"lat_{end}"), F.col("lon").alias(f"lon_{end}")).agg(F.collect_list("id").alias(ids)).where(F.size(ids) > 0)
+        return found.withColumn(ids, F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.size(ids) - 1) / PLACE_BLOCK).cast("int")), block)))
+
+    # pairs are many more than nodes, so what Spark would merge into few tasks by its size is dealt out to all
+    tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * nodes.sparkSession.sparkContext.defaultParallelism)
+    pairs = near_pairs(places(nodes if centres is None else centres, "centres", "a"), places(nodes, "ids", "b"), radius_m, tasks)
+    return pairs.withColumn("dist_m", haversine_atan2(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))).where(F.col("dist_m") <= radius_m).select("centres", "ids", "dist_m")
+
+
+def pairs_of(near: DataFrame) -> DataFrame:
+    """(centre, id, dist_m) of near_places: a row for each centre and other node."""
+    return near.select(F.explode("centres").alias("centre"), "ids", "dist_m").select("centre", F.explode("ids").alias("id"), "dist_m").where("centre <> id")
+
+
+def within_radius(nodes: DataFrame, radius_m: float, centres: DataFrame | None = None) -> DataFrame:
+    """(centre, id, dist_m): the other nodes within a radius."""
+    return pairs_of(near_places(nodes, radius_m, centres))
 
 
 def fragility(nodes: DataFrame, edges: DataFrame, scenarios: DataFrame, bootstrap: int = 200, seed: int = 42) -> DataFrame:

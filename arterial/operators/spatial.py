@@ -7,11 +7,12 @@ from ..functions.geo import haversine
 from ..schema import METRES_PER_DEGREE
 
 
-def near_pairs(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame:
+def near_pairs(left: DataFrame, right: DataFrame, radius_m: float, tasks: int | None = None) -> DataFrame:
     """Pairs of rows whose places may lie within the radius, a superset; left has lat_a, lon_a, right lat_b, lon_b.
 
     Cells measure the radius (and a thousandth) in latitude; in longitude a cell is as wide
     as the radius is at its latitude band, so only the nine cells around a place are looked at.
+    tasks: into how many tasks the cells are dealt, however small the tables are.
     """
     step = radius_m * 1.001 / METRES_PER_DEGREE * (METRES_PER_DEGREE / 111_194.9266)
     row = lambda lat: F.floor(lat / step)
@@ -20,6 +21,8 @@ def near_pairs(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame:
     cells = right.withColumn("_row", row(F.col("lat_b"))).withColumn("_col", F.floor(F.col("lon_b") / width(F.col("_row"))))
     near = left.withColumn("_row", F.explode(F.array(*(row(F.col("lat_a")) + d for d in (-1, 0, 1))))).withColumn("_at", F.floor(F.col("lon_a") / width(F.col("_row"))))
     near = near.withColumn("_col", F.explode(F.array(*(F.col("_at") + d for d in (-1, 0, 1))))).drop("_at")
+    if tasks:
+        near, cells = near.repartition(tasks, "_row", "_col"), cells.repartition(tasks, "_row", "_col")
     return near.join(cells, ["_row", "_col"]).drop("_row", "_col")
 
 

@@ -411,7 +411,7 @@ def g39_report(spark, sf_dir):
 
 @query(sql("pts", f"SELECT centre, id, round(dist_m, 6) dist_m FROM (SELECT a.id centre, b.id id, {haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} dist_m FROM pts a JOIN pts b ON a.id <> b.id AND abs(a.lat - b.lat) < 0.0006) WHERE dist_m <= 60"))
 def g36_within_radius(spark, sf_dir):
-    return rounded(network.within_radius(views.customer_points(spark, sf_dir), 60.0))
+    return network.pairs_of(rounded(network.near_places(views.customer_points(spark, sf_dir), 60.0)))
 
 
 SNAP = f"""snap AS (SELECT id, min_by(id_b, (d, id_b)) id_b FROM (SELECT a.id, b.id id_b, {haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} d FROM n100 a JOIN pts b ON abs(a.lat - b.lat) < 0.0003) WHERE d <= 25 GROUP BY id)"""

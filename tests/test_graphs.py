@@ -165,3 +165,15 @@ def test_graphml_round_trip(spark, tmp_path):
 def test_street_statistics(spark):
     r = topology.street_statistics(*graph(spark, [(1, 2), (2, 3)], 150_000.0), area_km2=2.0).first()
     assert (r.n_intersections, r.per_km2, r.length_m) == (1, 0.5, 300_000.0) and r.circuity == pytest.approx(150_000 / 111_194.93, rel=1e-4)
+
+
+def test_neighbours_of_many_nodes_at_one_place(spark):
+    rows = [(i, 12.9, 77.6) for i in range(700)] + [(700, 12.9003, 77.6), (701, 12.9003, 77.6), (702, 12.95, 77.6)]
+    nodes = spark.createDataFrame(rows, "id long, lat double, lon double")
+    out = network.within_radius(nodes, 60.0)
+    found = {(r.centre, r.id): r.dist_m for r in out.collect()}
+    assert len(found) == out.count() == 702 * 701 and all(702 not in pair for pair in found)
+    assert found[0, 1] == 0 and found[0, 700] == found[700, 0] == pytest.approx(33.36, abs=0.01)
+    assert network.near_places(nodes, 60.0).count() < 20  # blocks of ids, not pairs
+    assert out.rdd.getNumPartitions() >= 4  # dealt out, although small
+    assert {(r.centre, r.id) for r in network.within_radius(nodes, 60.0, nodes.where("id = 700")).collect()} == {(700, i) for i in range(702) if i != 700}
