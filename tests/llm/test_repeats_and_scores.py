@@ -190,6 +190,29 @@ def test_arcs_of_a_state_sum_to_one():
         assert sum(steps) == pytest.approx(1), history
 
 
+def test_scoring_a_group_takes_little_memory():
+    """Two groups are scored at once in an executor: bytes a token, without the texts."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from arterial.llm import lm_scoring
+
+    rows = 300
+    docs = pa.table({"doc_id": range(rows), "text": [prose(i, 1000) for i in range(rows)], "held_out": [i % 10 == 0 for i in range(rows)], "g": pa.array([0] * rows, pa.int32())})
+    tokens = len(lm_scoring.tokens_of(docs.column("text"))[0])
+    train = {"docs": rows, "tokens": tokens, "types": 401, "once": 1}
+    answers = lm_scoring._add_up(lm_scoring._ask(1)(docs))
+    answers = pa.concat_tables([answers, lm_scoring._add_up(lm_scoring._ask_longer(1, 3, train)(docs, answers))])
+    tracemalloc.start()
+    try:
+        found = lm_scoring._score(1, 3, train, (8.0, 2.0))(docs, answers)
+        assert tracemalloc.get_traced_memory()[1] / tokens < 150
+    finally:
+        tracemalloc.stop()
+    assert sum(found.column("n_tokens").to_pylist()) == tokens
+
+
 def test_structured_texts_have_different_hashes():
     a, b = b"a", b"b"
     for _ in range(12):
