@@ -31,7 +31,7 @@ from .components import components
 from .exact_links import MOST_PAIRS, exact_links
 from .exchange import blob, parts, pieces, small_batches
 from .frames import fresh, whole_row
-from .kernels import U64, eights, in_word, lower_ascii, mix, signed, slices, span_hashes, splitmix, utf8
+from .kernels import U64, eights, in_word, lower_ascii, mix, ragged, signed, slices, span_hashes, splitmix, utf8
 from .sketches import bloom, maybe_in
 from .storage import saved
 
@@ -53,8 +53,14 @@ def line_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     ends = np.append(starts[1:], len(data))
     doc = np.searchsorted(off, starts, "right") - 1
     ends = ends - (data[ends - 1] == 10)
-    solid = np.concatenate([[0], np.cumsum(in_word(data), dtype=np.int32)])
-    has = solid[ends] > solid[starts]
+    has = in_word(data[starts]) & (ends > starts)
+    blank = np.flatnonzero(~has & (ends > starts))  # only lines that begin with white space are searched further
+    n = ends[blank] - starts[blank]
+    if 8 * n.sum() > len(data):
+        solid = np.concatenate([[0], np.cumsum(in_word(data), dtype=np.int32)])
+        has[blank] = solid[ends[blank]] > solid[starts[blank]]
+    elif len(blank):
+        has[blank] = np.logical_or.reduceat(in_word(data[ragged(starts[blank], n)]), np.cumsum(n) - n)
     # empty texts share their start with the next one; a text's first line is the one at its offset
     number = np.searchsorted(breaks, starts) - np.searchsorted(breaks, off[doc])
     return starts[has], ends[has], doc[has], number[has]
@@ -95,7 +101,7 @@ def shingles(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray
 
 def signatures(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The band keys of each line, one row a line."""
-    factors = splitmix(2 * BANDS * ROWS, 0x11)
+    factors = (splitmix(BANDS * ROWS, 0x11) >> U64(32)).astype(np.uint32) | np.uint32(1)
     keys, ends = np.zeros((len(n), BANDS), U64), np.cumsum(n)
     i = 0
     while i < len(n):  # what fits the processor's cache at once
@@ -104,8 +110,7 @@ def signatures(h: np.ndarray, n: np.ndarray) -> np.ndarray:
         short = (h[ends[i] - n[i] : ends[j - 1]] >> U64(32)).astype(np.uint32)
         turned, lows = np.empty_like(short), np.empty((BANDS * ROWS, j - i), np.uint32)
         for k in range(BANDS * ROWS):
-            np.bitwise_xor(short, np.uint32(int(factors[2 * k]) >> 32), out=turned)
-            np.multiply(turned, np.uint32(int(factors[2 * k + 1]) >> 32 | 1), out=turned)
+            np.multiply(short, factors[k], out=turned)  # hashes are mixed, so odd factors order them anew
             np.minimum.reduceat(turned, start, out=lows[k])
         mixed = mix(lows.astype(U64) + np.arange(1, 2 * BANDS * ROWS, 2, dtype=U64)[:, None]).reshape(BANDS, ROWS, j - i)
         for r in range(ROWS):
@@ -230,39 +235,54 @@ def _again(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([pairs.filter(pa.array(keep, pa.bool_()))])
 
 
-def _fetch(wanted: bytes):
-    def fetch(batches):
+SURVEY = "line long, bytes binary, ids binary, hashes binary, numbers binary, keys binary"
+
+
+def _survey(wanted: bytes):
+    """In one scan the bytes of the lines that may be in a Bloom filter, once a task, and the places of all lines, a row a slice."""
+
+    def survey(batches):
         bits = np.unpackbits(np.frombuffer(wanted, np.uint8))
         seen: set[int] = set()
         for batch in batches:
-            keys, texts = [], []
-            for _, part, s, e, _, _, key in _lines(batch.column(0)):
-                for i in np.flatnonzero(maybe_in(bits, key)) if len(key) else ():
-                    if (k := int(key[i])) not in seen:
+            ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            lines, texts, places = [], [], []
+            for i, part, s, e, doc, number, key in _lines(batch.column(2)):
+                if not len(key):
+                    continue
+                places.append((blob(ids[doc + i]), blob(hashes[doc + i]), blob(number.astype(np.int32)), blob(key)))
+                for j in np.flatnonzero(maybe_in(bits, key)):
+                    if (k := int(key[j])) not in seen:
                         seen.add(k)
-                        keys.append(key[i])
-                        texts.append(part[s[i] : e[i]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(signed(np.array(keys, U64))), pa.array(texts, pa.binary())], ["line", "bytes"])
+                        lines.append(key[j])
+                        texts.append(part[s[j] : e[j]].tobytes())
+            found, none = signed(np.array(lines, U64)).tolist(), [None] * len(places)
+            columns = [pa.array(found + none, pa.int64()), pa.array(texts + none, pa.binary()), *(pa.array([None] * len(found) + [x[c] for x in places], pa.binary()) for c in range(4))]
+            yield pa.RecordBatch.from_arrays(columns, ["line", "bytes", "ids", "hashes", "numbers", "keys"])
 
-    return fetch
+    return survey
 
 
-def similarities(left: list[bytes], right: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Sizes of intersection and union of the shingle sets of each pair of lines, 4,096 at most.
+def similarities(left: list[bytes], right: list[bytes], percent: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of intersection and union of the shingle sets of each pair of lines, 4,096 at most; the intersection is left at 0 where the sets' sizes rule out that percentage.
 
-    A pair's number and 52 bits of a shingle's hash share a word.
+    The set of a line that is in several pairs is made once. A pair's number and 51 bits of a shingle's hash share a word.
     """
-    sides = []
-    for side in (left, right):
-        e = np.cumsum([len(x) for x in side])
-        h, n = shingles(np.frombuffer(b"".join(side), np.uint8), e - [len(x) for x in side], e)
-        own = np.sort(np.repeat(np.arange(len(side), dtype=U64) << U64(52), n) | (h >> U64(12)))
-        sides.append(own[np.append(True, own[1:] != own[:-1])])
-    keys = np.sort(np.concatenate(sides))
-    twice = keys[1:][keys[1:] == keys[:-1]]
-    at = lambda x: np.diff(np.append(np.searchsorted(x, np.arange(len(left), dtype=U64) << U64(52)), len(x)))
-    both = at(twice)
-    return both, at(keys) - both
+    number: dict[bytes, int] = {}
+    a, b = (np.array([number.setdefault(x, len(number)) for x in side], np.int64) for side in (left, right))
+    e = np.cumsum([len(x) for x in number])
+    h, n = shingles(np.frombuffer(b"".join(number), np.uint8), e - [len(x) for x in number], e)
+    own = np.sort(np.repeat(np.arange(len(number), dtype=U64) << U64(51), n) | (h >> U64(13)))
+    own = own[np.append(True, own[1:] != own[:-1])]
+    first = np.searchsorted(own, np.arange(len(number), dtype=U64) << U64(51))
+    size = np.diff(np.append(first, len(own)))
+    own &= U64((1 << 51) - 1)
+    x, y = size[a], size[b]
+    close = np.flatnonzero(100 * np.minimum(x, y) >= percent * np.maximum(x, y))
+    keys = [np.repeat(close.astype(U64) << U64(51), size[side[close]]) | own[ragged(first[side[close]], size[side[close]])] for side in (a, b)]
+    keys = np.sort(np.concatenate(keys))
+    both = np.bincount((keys[1:][keys[1:] == keys[:-1]] >> U64(51)).astype(np.int64), minlength=len(left))
+    return both, x + y - both
 
 
 def _similar(left: list[bytes], right: list[bytes], percent: int) -> np.ndarray:
@@ -273,7 +293,7 @@ def _similar(left: list[bytes], right: list[bytes], percent: int) -> np.ndarray:
         while end < len(left) and end - at < MOST_PAIRS and (size < 1 << 19 or end == at):
             size += len(left[end]) + len(right[end])
             end += 1
-        both, either = similarities(left[at:end], right[at:end])
+        both, either = similarities(left[at:end], right[at:end], percent)
         keep.append(100 * both >= percent * either)
         at = end
     return np.concatenate(keep)
@@ -314,45 +334,43 @@ def _open_lines(large: DataFrame, roots: DataFrame) -> DataFrame:
     return rooted.join(still, "bucket")
 
 
-def line_components(docs: DataFrame, percent: int) -> DataFrame:
-    """(node, root) of the lines that are linked to another; a node is a line's key. docs: text."""
+def line_components(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(node, root) of the lines that are linked to another, a node being a line's key, and the places of all lines. docs: id, th, text."""
     small_batches(docs.sparkSession)
-    n = pieces(docs)
-    sent = docs.mapInArrow(_band_keys(n), "shard int, band binary, line binary")
+    texts = docs.select("text")
+    n = pieces(texts)
+    sent = texts.mapInArrow(_band_keys(n), "shard int, band binary, line binary")
     buckets = saved(sent.groupBy("shard").applyInArrow(_buckets, "shard int, band binary, line binary"))
     pairs = saved(buckets.mapInArrow(_first_pairs, "a long, b long").distinct())
     large = saved(buckets.mapInArrow(_large, "bucket long, line long"))
     wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("line")).union(large.select("line")).distinct())
-    texts = docs.mapInArrow(_fetch(bloom(wanted, "line")), "line long, bytes binary")
-    texts = saved(texts.join(wanted, "line", "left_semi").dropDuplicates(["line"]))
+    survey = saved(docs.select("id", "th", "text").mapInArrow(_survey(bloom(wanted, "line")), SURVEY))
+    places = survey.where("line is null").select("ids", "hashes", "numbers", "keys")
+    texts = saved(survey.where("line is not null").select("line", "bytes").join(wanted, "line", "left_semi").dropDuplicates(["line"]))
     first = _links(pairs, texts, percent)
     if large.isEmpty():
-        return components(first)
+        return components(first), places
     more = _open_lines(large, components(first)).groupBy("bucket").applyInArrow(_again, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
     links = first.union(_links(more, texts, percent))
     roots = components(links)
     left = saved(_open_lines(large, roots).select("line", "root").distinct())
     if left.isEmpty():
-        return roots
-    return components(links.union(exact_links(left.join(texts, "line").toDF("node", "root", "value"), percent, _sets, _similar)))
+        return roots, places
+    return components(links.union(exact_links(left.join(texts, "line").toDF("node", "root", "value"), percent, _sets, _similar))), places
 
 
 def _occurrences(wanted: bytes | None = None):
-    """The lines of documents, or those that may be in a Bloom filter."""
+    """A row for each place of a line, or of those lines that may be in a Bloom filter."""
 
     def find(batches):
         bits = None if wanted is None else np.unpackbits(np.frombuffer(wanted, np.uint8))
         for batch in batches:
-            docs, numbers, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for i, _, _, _, doc, number, key in _lines(batch.column(2)):
-                if bits is not None and len(key):
-                    hit = maybe_in(bits, key)
-                    doc, number, key = doc[hit], number[hit], key[hit]
-                docs.append(doc + i)
-                numbers.append(number)
-                keys.append(signed(key))
-            at = pa.array(np.concatenate(docs))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(numbers), pa.int64()), pa.array(np.concatenate(keys))], ["id", "th", "number", "line"])
+            columns = [np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in c.to_pylist())]) for c, kind in zip(batch.columns, (np.int64, np.int64, np.int32, U64), strict=True)]
+            if bits is not None and len(columns[3]):
+                hit = maybe_in(bits, columns[3])
+                columns = [c[hit] for c in columns]
+            ids, hashes, number, key = columns
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hashes), pa.array(number.astype(np.int64)), pa.array(signed(key))], ["id", "th", "number", "line"])
 
     return find
 
@@ -379,8 +397,8 @@ def dedup_lines(df: DataFrame, percent: int = 80, doc_id: str = "doc_id", text:
     small_batches(df.sparkSession)
     t = F.coalesce(F.col(text), F.lit(""))
     identity = [F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(t).alias("th")]
-    roots = line_components(df.select(t.alias("text")), percent)
-    found = lambda wanted=None: df.select(*identity, t.alias("text")).mapInArrow(_occurrences(wanted), "id long, th long, number long, line long")
+    roots, places = line_components(df.select(*identity, t.alias("text")), percent)
+    found = lambda wanted=None: places.mapInArrow(_occurrences(wanted), "id long, th long, number long, line long")
     place = F.struct("id", "th", "number")
     lines = found().groupBy("line").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     lines = lines.join(roots.withColumnRenamed("node", "line"), "line", "left").where("root is not null or first <> last")

@@ -1,9 +1,10 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
-from arterial.llm import exact_links, ngram_join
+from arterial.llm import exact_links, line_dedup, ngram_join
 from arterial.llm.components import components
 from arterial.llm.line_dedup import dedup_lines, shingles, signatures, similarities
 from arterial.llm.ngram_join import jaccard_components, one_per_component
@@ -206,6 +207,27 @@ def test_line_similarity_is_exact():
     assert signatures(h, n).shape == (2, 12)
 
 
+def test_a_line_of_many_pairs_is_cut_into_shingles_once(monkeypatch):
+    hub, others = prose(1, 20).encode(), [prose(i, 20).encode() for i in range(2, 102)] + [prose(1, 20).encode()[:-4] + b"abcd", prose(3, 5).encode()]
+    seen = []
+    monkeypatch.setattr(line_dedup, "shingles", lambda data, s, e, f=line_dedup.shingles: (seen.append(len(s)), f(data, s, e))[1])
+    both, either = similarities([hub] * len(others), others)
+    assert sum(seen) == len(others) + 1
+    near, either_near = similarities([hub] * len(others), others, 80)
+    assert (either >= either_near).any() and near[100] == both[100] > 0.8 * either[100]
+    assert (line_dedup._similar([hub] * len(others), others, 80) == (100 * both >= 80 * either)).all()
+
+
+def test_lines_that_begin_with_white_space():
+    rng = random.Random(8)
+    for _ in range(300):
+        texts = ["".join(rng.choices(" \t\nab", (4, 1, 2, 1, 1), k=rng.randrange(12))) for _ in range(6)] + ["x" * rng.randrange(200)]
+        rng.shuffle(texts)
+        data, off = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+        found = [bytes(data[s:e]).decode() for s, e in zip(*line_dedup.line_bounds(data, off)[:2], strict=True)]
+        assert found == [line for t in texts for line in t.split("\n") if line.strip(" \t")]
+
+
 def test_no_lines(spark):
     assert dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
     clash = spark.createDataFrame([(1, "a\na", 7, "x")], "doc_id long, text string, n_lines long, root string")
