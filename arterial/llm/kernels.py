@@ -10,6 +10,8 @@ import pyarrow as pa
 
 U64 = np.uint64
 SLICE_BYTES = 1 << 17  # of text handled at once: bounds the memory of a kernel
+IN_WORD = np.ones(256, bool)
+IN_WORD[[0x20, 9, 10, 11, 12, 13]] = False
 
 
 def splitmix(n: int, seed: int) -> np.ndarray:
@@ -37,18 +39,6 @@ def mix(x: np.ndarray) -> np.ndarray:
 _cache: dict = {}
 
 
-def _table(name: str) -> np.ndarray:
-    if name not in _cache:
-        if name == "space":
-            t = np.zeros(256, bool)
-            t[[0x20, 9, 10, 11, 12, 13]] = True
-        else:
-            t = np.arange(256, dtype=np.uint8)
-            t[65:91] += 32
-        _cache[name] = t
-    return _cache[name]
-
-
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base modulo 2**64, and of its inverse."""
     base = 0x2545F4914F6CDD1B
@@ -94,7 +84,7 @@ def slices(off: np.ndarray, limit: int = SLICE_BYTES):
 
 def in_word(data: np.ndarray) -> np.ndarray:
     """Is each byte part of a word?"""
-    return ~_table("space")[data]
+    return IN_WORD[data]
 
 
 def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,7 +131,7 @@ def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
-    return _table("lower")[data]
+    return data + (((data - np.uint8(65)) < 26).view(np.uint8) << np.uint8(5))
 
 
 def window_hashes(words: np.ndarray, k: int, seed: int = 1) -> np.ndarray:

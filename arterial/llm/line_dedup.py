@@ -23,6 +23,7 @@ An empty table gives an empty result. Other columns may have any name.
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,9 +37,12 @@ from .sketches import bloom, maybe_in
 from .storage import saved
 
 SHINGLE, BANDS, ROWS = 10, 12, 4
+GRAM = 4  # characters of 16 bits in a word
 FULL_BUCKET = 16
 SIGNED_AT_ONCE = 1 << 15  # shingles
+BYTES_AT_ONCE = 1 << 15  # of lines that are cut into shingles: their hashes fit the processor's cache
 LINES_AT_ONCE = 1 << 16  # whose bands a task gathers before it sends them
+PLACES_AT_ONCE = 1 << 18  # that a task gathers before it sends the first and last of each line
 LAST_ID = 2**63 - 1
 
 
@@ -66,36 +70,50 @@ def line_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts[has], ends[has], doc[has], number[has]
 
 
+def _grams(data: np.ndarray) -> np.ndarray:
+    """A hash of the four characters from each character on, zeros after the end; some more than there are characters."""
+    if not (data >= 0xC0).any():
+        units = astral = data
+    elif not (data >= 0xF0).any():
+        units = astral = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-16-le"), np.uint16)
+    else:
+        astral = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+        units = astral.astype(np.uint16)
+    padded = np.zeros(len(units) + SHINGLE, np.uint16)
+    padded[: len(units)] = units
+    grams = mix(np.ascontiguousarray(np.ndarray((len(units) + SHINGLE - GRAM,), "<u8", padded, 0, (2,))))
+    if astral.dtype == np.uint32:  # four units of 16 bits can't tell these grams apart
+        begins = astral > 0xFFFF
+        begins[:-1] |= begins[1:]
+        begins[:-2] |= begins[2:]
+        at, points = np.flatnonzero(begins), np.append(astral, np.zeros(GRAM, np.uint32))
+        grams[at] = mix(sum(mix(points[at + j] + U64(j << 32)) for j in range(GRAM)))
+    return grams
+
+
 def shingles(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each line's shingles, with repetitions, and how many each line has (one at least).
 
-    A shingle of ASCII characters is hashed by its bytes, others by their code points.
+    A shingle is hashed by three of its grams of four characters, which cover it.
+    Lines come in the order of their places and aren't empty.
     """
-    eight = eights(data)
-    h = eight[SHINGLE - 8 :] >> U64(64 - 8 * (SHINGLE - 8))
-    h *= U64(0x9E3779B97F4A7C15)
-    h ^= eight[: len(h)]
+    grams = _grams(data)
+    size = len(grams) - SHINGLE + GRAM
+    h = grams[GRAM : GRAM + size] * U64(0x9E3779B97F4A7C15)
+    h += grams[SHINGLE - GRAM :] * U64(0xD1342543DE82EF95)
+    h += grams[:size]
     first, last = s, e
-    if (data >= 0x80).any():
-        begins = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
-        first, last = np.searchsorted(begins, s), np.searchsorted(begins, e)
-        h = mix(h[begins[:-SHINGLE]])
-        wide = np.flatnonzero(begins[SHINGLE:] - begins[:-SHINGLE] > SHINGLE)
-        points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).astype(U64)
-        total = np.zeros(len(wide), U64)
-        for j, factor in enumerate(splitmix(SHINGLE, 0x57) | U64(1)):
-            total += points[wide + j] * factor
-        h[wide] = mix(total)
-    else:
-        h = mix(h)
+    if size < len(data):
+        later = np.flatnonzero((data & 0xC0) == 0x80)
+        first, last = s - np.searchsorted(later, s), e - np.searchsorted(later, e)
     n = np.maximum(last - first - SHINGLE + 1, 1)
-    ends = np.cumsum(n)
-    at = np.arange(int(ends[-1]) if len(ends) else 0)
-    at -= np.repeat(ends - n - first, n)
+    after = np.append(0, first + n)
+    kept = np.ones(size, bool)
+    kept[ragged(after, np.append(first, size) - after)] = False
+    out = h[kept]
     short = np.flatnonzero(last - first < SHINGLE)
-    at[(ends - n)[short]] = 0
-    out = h[at] if len(h) else np.zeros(len(at), U64)
-    out[(ends - n)[short]] = span_hashes(data, s[short], e[short])
+    if len(short):
+        out[(np.cumsum(n) - n)[short]] = span_hashes(data, s[short], e[short])
     return out, n
 
 
@@ -119,6 +137,16 @@ def signatures(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return mix(keys + np.arange(BANDS, dtype=U64))
 
 
+def line_signatures(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """The band keys of lines that come in the order of their places, some kilobytes of lines after the other."""
+    keys, i = [np.zeros((0, BANDS), U64)], 0
+    while i < len(s):
+        j = max(i + 1, int(np.searchsorted(e, s[i] + BYTES_AT_ONCE, "right")))
+        keys.append(signatures(*shingles(data[s[i] : e[j - 1]], s[i:j] - s[i], e[i:j] - s[i])))
+        i = j
+    return np.concatenate(keys)
+
+
 def _lines(column):
     """Slice by slice: lower-cased bytes, bounds, document, number and key of the lines."""
     data, off = utf8(column)
@@ -135,7 +163,7 @@ def _band_keys(shards: int):
         bands = np.concatenate([b for _, b in held]).ravel()
         line = np.repeat(np.concatenate([k for k, _ in held]), BANDS)
         shard = (bands >> U64(32)).astype(np.int64) * shards >> 32
-        order = np.argsort(shard, kind="stable")
+        order = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
         bands, line, ranges = bands[order].astype(np.uint32), line[order], parts(shard[order])
         arrays = [pa.array([blob(c[p]) for _, p in ranges], pa.binary()) for c in (bands, line)]
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in ranges], pa.int32()), *arrays], ["shard", "band", "line"])
@@ -143,14 +171,15 @@ def _band_keys(shards: int):
     def send(batches):
         held, seen = [], set()
         for batch in batches:
-            for _, part, s, e, _, _, key in _lines(batch.column(0)):
-                key, once = np.unique(key, return_index=True)
+            for _, part, s, e, _, _, all_keys in _lines(batch.column(0)):
+                key, once = np.unique(all_keys, return_index=True)
                 new = np.array([k not in seen for k in key.tolist()], bool)
                 if not new.any():
                     continue
-                key, once = key[new], once[new]
+                once = np.sort(once[new])
+                key = all_keys[once]
                 seen.update(key.tolist())
-                held.append((key, signatures(*shingles(part, s[once], e[once]))))
+                held.append((key, line_signatures(part, s[once], e[once])))
                 if len(seen) > LINES_AT_ONCE:
                     yield message(held)
                     held, seen = [], set()
@@ -160,17 +189,27 @@ def _band_keys(shards: int):
     return send
 
 
+def _in_groups(band: np.ndarray) -> np.ndarray:
+    """Is a neighbour in this order equal?"""
+    several = np.zeros(len(band), bool)
+    several[1:] = band[1:] == band[:-1]
+    several[:-1] |= several[1:]
+    return several
+
+
 def _buckets(table: pa.Table) -> pa.Table:
     """The buckets of two lines or more."""
     band, line = (np.concatenate([np.frombuffer(x, kind) for x in table.column(c).to_pylist()]) for c, kind in (("band", np.uint32), ("line", U64)))
+    order = np.argsort(band)
+    band = band[order]
+    order, band = (x[_in_groups(band)] for x in (order, band))  # most bands have one line
+    line = line[order]
     order = np.lexsort((line, band))
     band, line = band[order], line[order]
     new = np.ones(len(band), bool)
     new[1:] = (band[1:] != band[:-1]) | (line[1:] != line[:-1])
     band, line = band[new], line[new]
-    several = np.zeros(len(band), bool)
-    several[1:] = band[1:] == band[:-1]
-    several[:-1] |= several[1:]
+    several = _in_groups(band)
     return pa.table({"shard": table.column("shard")[:1], "band": pa.array([blob(band[several])], pa.binary()), "line": pa.array([blob(line[several])], pa.binary())})
 
 
@@ -280,7 +319,7 @@ def similarities(left: list[bytes], right: list[bytes], percent: int = 0) -> tup
     x, y = size[a], size[b]
     close = np.flatnonzero(100 * np.minimum(x, y) >= percent * np.maximum(x, y))
     keys = [np.repeat(close.astype(U64) << U64(51), size[side[close]]) | own[ragged(first[side[close]], size[side[close]])] for side in (a, b)]
-    keys = np.sort(np.concatenate(keys))
+    keys = np.sort(np.concatenate(keys), kind="stable")  # two sorted runs
     both = np.bincount((keys[1:][keys[1:] == keys[:-1]] >> U64(51)).astype(np.int64), minlength=len(left))
     return both, x + y - both
 
@@ -288,9 +327,9 @@ def similarities(left: list[bytes], right: list[bytes], percent: int = 0) -> tup
 def _similar(left: list[bytes], right: list[bytes], percent: int) -> np.ndarray:
     """Is each pair of lines linked?"""
     keep, at = [np.zeros(0, bool)], 0
-    while at < len(left):  # a few hundred kilobytes at once
+    while at < len(left):
         end, size = at, 0
-        while end < len(left) and end - at < MOST_PAIRS and (size < 1 << 19 or end == at):
+        while end < len(left) and end - at < MOST_PAIRS and (size < BYTES_AT_ONCE or end == at):
             size += len(left[end]) + len(right[end])
             end += 1
         both, either = similarities(left[at:end], right[at:end], percent)
@@ -334,8 +373,8 @@ def _open_lines(large: DataFrame, roots: DataFrame) -> DataFrame:
     return rooted.join(still, "bucket")
 
 
-def line_components(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(node, root) of the lines that are linked to another, a node being a line's key, and the places of all lines. docs: id, th, text."""
+def line_components(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, int]:
+    """(node, root) of the lines that are linked to another, a node being a line's key, the places of all lines, and how many shards of keys there are. docs: id, th, text."""
     small_batches(docs.sparkSession)
     texts = docs.select("text")
     n = pieces(texts)
@@ -349,27 +388,85 @@ def line_components(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame
     texts = saved(survey.where("line is not null").select("line", "bytes").join(wanted, "line", "left_semi").dropDuplicates(["line"]))
     first = _links(pairs, texts, percent)
     if large.isEmpty():
-        return components(first), places
+        return components(first), places, n
     more = _open_lines(large, components(first)).groupBy("bucket").applyInArrow(_again, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
     links = first.union(_links(more, texts, percent))
     roots = components(links)
     left = saved(_open_lines(large, roots).select("line", "root").distinct())
     if left.isEmpty():
-        return roots, places
-    return components(links.union(exact_links(left.join(texts, "line").toDF("node", "root", "value"), percent, _sets, _similar))), places
+        return roots, places, n
+    return components(links.union(exact_links(left.join(texts, "line").toDF("node", "root", "value"), percent, _sets, _similar))), places, n
+
+
+def _columns(places) -> list[np.ndarray]:
+    """Id, hash, number and key of the places in a batch or table."""
+    kinds = {"ids": np.int64, "hashes": np.int64, "numbers": np.int32, "keys": U64}
+    return [np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in places.column(c).to_pylist())]) for c, kind in kinds.items()]
 
 
-def _occurrences(wanted: bytes | None = None):
-    """A row for each place of a line, or of those lines that may be in a Bloom filter."""
+def _in_order(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Places by key, id, hash and number, and which of them are the first and the last of their key."""
+    order = np.lexsort((columns[2], columns[1], columns[0], columns[3]))
+    columns = [c[order] for c in columns]
+    first, last = np.ones(len(order), bool), np.ones(len(order), bool)
+    first[1:] = last[:-1] = columns[3][1:] != columns[3][:-1]
+    return columns, first, last
+
+
+def _ends(shards: int):
+    """The first and the last place of each line of a task, a bounded number of places at a time."""
+
+    def message(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        columns, first, last = _in_order([np.concatenate(c) for c in zip(*held, strict=True)])
+        columns = [c[first | last] for c in columns]
+        ranges = parts((columns[3] >> U64(32)).astype(np.int64) * shards >> 32)
+        arrays = [pa.array([blob(c[x]) for _, x in ranges], pa.binary()) for c in columns]
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in ranges], pa.int32()), *arrays], ["shard", "ids", "hashes", "numbers", "keys"])
+
+    def send(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(_columns(batch))
+            size += len(held[-1][3])
+            if size > PLACES_AT_ONCE:
+                yield message(held)
+                held, size = [], 0
+        if size:
+            yield message(held)
+
+    return send
+
+
+PLACE = ("id", "th", "number")
+
+
+def _repeated(places: pa.Table, roots: pa.Table) -> pa.Table:
+    """Root, first and last place of the lines of a shard that are linked to another or have several places."""
+    columns, node, root = _columns(places), roots.column("node").to_numpy(), roots.column("root").to_numpy()
+    order = np.argsort(columns[3])
+    key = columns[3][order]
+    order = order[_in_groups(key) | np.isin(signed(key), node)]
+    columns, first, last = _in_order([c[order] for c in columns])
+    line = signed(columns[3][first])
+    by = np.argsort(node)
+    at = np.searchsorted(node, line, sorter=by)
+    linked = np.isin(line, node)
+    out = line.copy()
+    out[linked] = root[by[at[linked]]]
+    kept = linked | np.any([c[first] != c[last] for c in columns[:3]], axis=0)
+    ends = {f"{end}_{c}": pa.array(x[which][kept].astype(np.int64)) for end, which in (("first", first), ("last", last)) for c, x in zip(PLACE, columns[:3], strict=True)}
+    return pa.table({"line": pa.array(line[kept]), "root": pa.array(out[kept]), **ends})
+
+
+def _occurrences(wanted: bytes):
+    """A row for each place of the lines that may be in a Bloom filter."""
 
     def find(batches):
-        bits = None if wanted is None else np.unpackbits(np.frombuffer(wanted, np.uint8))
+        bits = np.unpackbits(np.frombuffer(wanted, np.uint8))
         for batch in batches:
-            columns = [np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in c.to_pylist())]) for c, kind in zip(batch.columns, (np.int64, np.int64, np.int32, U64), strict=True)]
-            if bits is not None and len(columns[3]):
-                hit = maybe_in(bits, columns[3])
-                columns = [c[hit] for c in columns]
-            ids, hashes, number, key = columns
+            columns = _columns(batch)
+            hit = maybe_in(bits, columns[3])
+            ids, hashes, number, key = (c[hit] for c in columns)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hashes), pa.array(number.astype(np.int64)), pa.array(signed(key))], ["id", "th", "number", "line"])
 
     return find
@@ -378,15 +475,17 @@ def _occurrences(wanted: bytes | None = None):
 def _cut(column: int, removed: int):
     def cut(batches):
         for batch in batches:
-            texts, lines, gone = [], [], []
-            for text, numbers in zip(batch.column(column).to_pylist(), batch.column(removed).to_pylist(), strict=True):
-                parts = (text or "").split("\n")
-                lines.append(sum(1 for x in parts if x.strip(" \t\x0b\f\r")))
-                drop = set(numbers or ())
-                gone.append(len(drop))
-                texts.append("\n".join(x for i, x in enumerate(parts) if i not in drop) if drop else text)
-            columns = [pa.array(texts, pa.string()) if i == column else c for i, c in enumerate(batch.columns[:removed])]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(gone, pa.int64())], [*batch.schema.names[:removed], "n_lines", "n_removed"])
+            data, off = utf8(batch.column(column))
+            lines = [np.zeros(0, np.int64), *(np.bincount(line_bounds(data[off[i] : off[j]], off[i : j + 1] - off[i])[2], minlength=j - i) for i, j in slices(off))]
+            gone = [set(numbers or ()) for numbers in batch.column(removed).to_pylist()]
+            at = np.array([bool(x) for x in gone], bool)
+            texts, kept = batch.column(column), []
+            for i in np.flatnonzero(at).tolist():
+                kept.append("\n".join(x for k, x in enumerate(texts[i].as_py().split("\n")) if k not in gone[i]))
+            if kept:
+                texts = pc.replace_with_mask(texts, pa.array(at), pa.array(kept, texts.type))
+            columns = [texts if i == column else c for i, c in enumerate(batch.columns[:removed])]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(lines)), pa.array([len(x) for x in gone], pa.int64())], [*batch.schema.names[:removed], "n_lines", "n_removed"])
 
     return cut
 
@@ -397,15 +496,17 @@ def dedup_lines(df: DataFrame, percent: int = 80, doc_id: str = "doc_id", text:
     small_batches(df.sparkSession)
     t = F.coalesce(F.col(text), F.lit(""))
     identity = [F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(t).alias("th")]
-    roots, places = line_components(df.select(*identity, t.alias("text")), percent)
-    found = lambda wanted=None: places.mapInArrow(_occurrences(wanted), "id long, th long, number long, line long")
-    place = F.struct("id", "th", "number")
-    lines = found().groupBy("line").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    lines = lines.join(roots.withColumnRenamed("node", "line"), "line", "left").where("root is not null or first <> last")
-    lines = saved(lines.withColumn("root", F.coalesce("root", "line")))
+    roots, places, n = line_components(df.select(*identity, t.alias("text")), percent)
+    ends = places.mapInArrow(_ends(n), "shard int, ids binary, hashes binary, numbers binary, keys binary")
+    of = roots.withColumn("of", F.expr(f"cast(shiftright(shiftrightunsigned(node, 32) * {n}L, 32) as int)"))
+    schema = ", ".join(["line long", "root long", *(f"{end}_{c} long" for end in ("first", "last") for c in PLACE)])
+    lines = ends.groupBy("shard").cogroup(of.groupBy("of")).applyInArrow(_repeated, schema)
+    first, last = (F.struct(*(F.col(f"{end}_{c}").alias(c) for c in PLACE)).alias(end) for end in ("first", "last"))
+    lines = saved(lines.select("line", "root", first, last))
     kept = lines.groupBy("root").agg(F.min("first").alias("keep"), F.max("last").alias("last")).where("keep <> last").select("root", "keep")
     drop = saved(lines.select("line", "root").join(kept, "root").select("line", "keep"))
-    gone = found(bloom(drop, "line")).join(drop, "line").where(F.struct("id", "th", "number") != F.col("keep")).groupBy("id", "th").agg(F.collect_set("number").alias("gone"))
+    found = places.mapInArrow(_occurrences(bloom(drop, "line")), "id long, th long, number long, line long")
+    gone = found.join(drop, "line").where(F.struct(*PLACE) != F.col("keep")).groupBy("id", "th").agg(F.collect_set("number").alias("gone"))
     joined = df.select(*identity, whole_row(df)).join(gone, ["id", "th"], "left")
     schema = T.StructType([*df.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
     return joined.select("row.*", F.col("gone").alias(fresh(df, "gone"))).mapInArrow(_cut(df.columns.index(text), len(df.columns)), schema)

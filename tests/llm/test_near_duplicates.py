@@ -2,6 +2,8 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 
 from arterial.llm import exact_links, line_dedup, ngram_join
@@ -218,6 +220,64 @@ def test_a_line_of_many_pairs_is_cut_into_shingles_once(monkeypatch):
     assert (line_dedup._similar([hub] * len(others), others, 80) == (100 * both >= 80 * either)).all()
 
 
+def test_lines_are_cut_into_shingles_some_kilobytes_at_once(monkeypatch):
+    seen = []
+    monkeypatch.setattr(line_dedup, "shingles", lambda data, s, e, f=line_dedup.shingles: (seen.append(len(data)), f(data, s, e))[1])
+    lines = [prose(i, 60) for i in range(1000)]
+    sent = list(line_dedup._band_keys(1)([pa.RecordBatch.from_arrays([pa.array(["\n".join(lines)])], ["text"])]))
+    assert sum(len(x.as_py()) for batch in sent for x in batch.column(1)) == 4 * 12 * len(lines)
+    assert len(seen) > 1 and max(seen) < 1 << 16
+    seen.clear()
+    line_dedup._similar([x.encode() for x in lines[:500]], [x.encode() for x in lines[500:]], 80)
+    assert len(seen) > 1 and max(seen) < 1 << 16
+
+
+def test_bands_of_a_line_do_not_depend_on_what_stands_beside_it(monkeypatch):
+    lines = ["über den Fluß " * 3, "short", "plain words of ascii only", "ab\U0001f600" * 9, "\U0001f601b\U0001f600" * 9, "€", "x" * 300, "Ελληνικά γράμματα εδώ"]
+    alone = [signatures(*shingles(np.frombuffer(x.encode(), np.uint8), np.array([0]), np.array([len(x.encode())])))[0].tolist() for x in lines]
+    assert len({tuple(x) for x in alone}) == len(lines)
+    data = "\n\n".join(lines).encode()
+    starts = np.cumsum([0, *(len(x.encode()) + 2 for x in lines[:-1])])
+    for limit in (1, 40, 1 << 15):
+        monkeypatch.setattr(line_dedup, "BYTES_AT_ONCE", limit)
+        together = line_dedup.line_signatures(np.frombuffer(data, np.uint8), starts, starts + [len(x.encode()) for x in lines])
+        assert together.tolist() == alone
+
+
+def test_shingles_are_told_apart_by_all_their_characters():
+    rng, hash_of = random.Random(4), {}
+    for alphabet in ("ab", "aé", "a€é", "a\U0001f600\uf600", "\U0001f600\U0001f601b"):
+        text = "".join(rng.choices(alphabet, k=5000))
+        h, n = shingles(np.frombuffer(text.encode(), np.uint8), np.array([0]), np.array([len(text.encode())]))
+        assert n.tolist() == [len(h)] == [len(text) - 9]
+        for i, x in enumerate(h.tolist()):
+            assert hash_of.setdefault(text[i : i + 10], x) == x
+    assert len(set(hash_of.values())) == len(hash_of)
+
+
+def test_a_task_sends_two_places_of_a_line_at_most(monkeypatch):
+    rng = random.Random(6)
+    places = [(rng.randrange(-5, 40), rng.randrange(-9, 9), rng.randrange(50), rng.choice((3, 1 << 63, (1 << 64) - 1, 77 << 40, rng.getrandbits(64)))) for _ in range(3000)]
+    kinds = (np.int64, np.int64, np.int32, np.uint64)
+    rows = [[np.array(c, kind).tobytes() for c, kind in zip(zip(*places[i : i + 100], strict=True), kinds, strict=True)] for i in range(0, 3000, 100)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([row[c]], pa.binary()) for c in range(4)], ["ids", "hashes", "numbers", "keys"]) for row in rows]
+    roots = {line_dedup.signed(np.array([k], np.uint64))[0].item(): 5 for k in (3, places[0][3])}
+    want = {}
+    for *place, key in places:
+        want.setdefault(line_dedup.signed(np.array([key], np.uint64))[0].item(), set()).add(tuple(place))
+    want = {(k, roots.get(k, k), *min(v), *max(v)) for k, v in want.items() if len(v) > 1 or k in roots}
+    for limit in (1 << 18, 500):
+        monkeypatch.setattr(line_dedup, "PLACES_AT_ONCE", limit)
+        sent = list(line_dedup._ends(4)(iter(batches)))
+        assert sum(len(x.as_py()) for b in sent for x in b.column("keys")) <= 8 * (sum(len(set(p[3] for p in places[i : i + 600])) for i in range(0, 3000, 600)) + 4 * 6)
+        table, found = pa.Table.from_batches(sent), []
+        for shard in range(4):
+            part = table.filter(pa.compute.equal(table.column("shard"), shard))
+            of = [k for k in roots if (k % (1 << 64) >> 32) * 4 >> 32 == shard]
+            found += [tuple(r.values()) for r in line_dedup._repeated(part, pa.table({"node": pa.array(of, pa.int64()), "root": pa.array([5] * len(of), pa.int64())})).to_pylist()]
+        assert len(found) == len(want) and set(found) == want
+
+
 def test_lines_that_begin_with_white_space():
     rng = random.Random(8)
     for _ in range(300):
